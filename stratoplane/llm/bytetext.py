@@ -58,11 +58,13 @@ def row_blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row (plus one) the index of its first word."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row (plus one) the index of its first word.
+
+    separator tells for each byte value whether it stands between words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SEPARATOR[data]
+    solid = ~separator[data]
     begin, last = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -73,6 +75,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: range) -> list[np.ndarray]:
+    """For each length the hashes of the words' first bytes (0 where a word is not longer); equal to word_hashes of these bytes."""
+    out = []
+    for n in lengths:
+        long = np.flatnonzero(ends - starts > n)
+        h = np.zeros(len(starts), U64)
+        h[long] = word_hashes(data, starts[long], starts[long] + n)
+        out.append(h)
+    return out
+
+
 def _long_word(word: np.ndarray) -> int:
     total = 0
     for k in range(0, len(word), SEGMENT):
