@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shared_store import written
 from ..tables import table
@@ -151,11 +152,12 @@ def _open_units(pdf: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
 def mixed(sized: DataFrame, id_col: str, group_col: str, block_rows: int = BLOCK_ROWS, seed: int = 7, **how) -> DataFrame:
     """id, group, size, source_size, target and copies for every row of (id, group, size)."""
     spark, sources = sized.sparkSession, source_targets(sized, group_col, **how)
-    name = T.StructField("_g", sized.schema[group_col].dataType, True)
-
     def beside(df: DataFrame, ddl: str, values: list[tuple]) -> DataFrame:
-        """df with values, a tuple for each source, joined on its source (small enough to broadcast only if Spark finds so)."""
-        small = spark.createDataFrame([(s[0], *v) for s, v in zip(sources, values)], T.StructType([name, *T.StructType.fromDDL(ddl)]))
+        """df with values, a tuple for each source, joined on its source. Spark knows the small side's size, as it is local
+        data, and broadcasts it only below its threshold."""
+        schema = T.StructType([T.StructField("_g", sized.schema[group_col].dataType), *T.StructType.fromDDL(ddl)])
+        columns = zip(*((s[0], *v) for s, v in zip(sources, values))) if sources else [[]] * len(schema)
+        small = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema)))
         return df.join(small, F.col("_source").eqNullSafe(F.col("_g"))).drop("_g")
 
     units = sized.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_source"), "size")
