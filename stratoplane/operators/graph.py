@@ -11,22 +11,28 @@ from pyspark.sql import functions as F
 from ..shared_store import written
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """A digest of a set of edges that does not depend on their order."""
+    h = [F.sum(F.xxhash64("node", "to", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *h).first())
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the smallest node that can be reached) for every node of an edge; empty for no edges."""
     parent = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("to")).where("node <> to").distinct()
     parent = written(parent, "edges")
-    while True:
+    mark = _mark(parent)
+    while mark[0]:
         # Large star: larger neighbours of a node move on to the smallest of its neighbours and itself.
         both = parent.unionByName(parent.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").where("to > node").select(F.col("to").alias("node"), F.col("m").alias("to")).where("node <> to").distinct()
+        large = both.join(least, "node").where("to > node").select(F.col("to").alias("node"), F.col("m").alias("to")).where("node <> to")
         # Small star: a node and its smaller neighbours move on to the smallest of them.
         low = large.groupBy("node").agg(F.min("to").alias("m"))
         small = large.join(low, "node").select(F.col("to").alias("node"), F.col("m").alias("to")).where("node <> to").unionByName(low.select("node", F.col("m").alias("to"))).distinct()
-        new = written(small, "edges")
-        changed = new.exceptAll(parent).limit(1).count() or parent.exceptAll(new).limit(1).count()
-        parent = new
-        if not changed:
+        parent, before = written(small, "edges"), mark
+        mark = _mark(parent)
+        if mark == before:
             break
     roots = parent.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()
     return parent.select("node", F.col("to").alias("component")).unionByName(roots)
