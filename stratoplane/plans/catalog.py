@@ -1,10 +1,7 @@
 """Registered queries and their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from . import orientation_queries, plot_queries, point_queries
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES = {**point_queries.QUERIES, **orientation_queries.QUERIES, **plot_queries.QUERIES}
+ORACLES = {**point_queries.ORACLES, **orientation_queries.ORACLES, **plot_queries.ORACLES}
+flagship = point_queries.flagship
