@@ -9,14 +9,16 @@ CAPACITY tokens only where they are longer. Pieces are dealt by a hash to groups
   sum is a bounded integer that only grows, so the search ends.
 
 A group is bounded whatever the input's size, and every group holds the same mix of lengths, so few bins are lost to grouping. Words
-are tokenised once and remembered in a table of bounded size: the tokenizer never joins across white space.
+are tokenised once and remembered by each worker in a table of bounded size: the tokenizer never joins across white space.
 
 Null and empty texts are one end id. Repeated rows are packed as often as they come. Empty tables give empty results.
 """
 
+import os
 import re
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,8 @@ from ..shared_store import written
 from ..tables import table
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
-#: Words remembered by a task before its table starts anew.
-REMEMBERED = 300_000
+#: Words, and parts of words, remembered by a worker before its table starts anew.
+REMEMBERED = 400_000
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -39,53 +41,74 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
 class WordTokens(dict):
     """The ids of words between ASCII white space, as little-endian 32-bit bytes.
 
-    ASCII words are taken apart as the tokenizer does and their parts remembered too; all others go to the tokenizer whole."""
+    Words of printable ASCII and Latin letters are taken apart as the tokenizer does, and only their parts go through its merges;
+    parts are remembered too. All other words, and all words for a tokenizer with other rules, go to the tokenizer whole."""
 
-    _parts = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    _parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: Anything else than printable ASCII and Latin letters, and beginnings of special tokens.
+    _odd = re.compile("[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
+    _rules = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
-        split = str(self.tokenizer.pre_tokenizer) + str(self.tokenizer.normalizer)
-        self.plain = "Lowercase" in split and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split
-        # Control characters that only some notions of white space hold, and special tokens, go to the tokenizer.
-        self.odd = re.compile(rb"[^\x21-\x7e]|<\|")
+        rules = str(self.tokenizer.pre_tokenizer)
+        self.plain = str(self.tokenizer.normalizer).endswith("Lowercase()])") and self._rules in rules and "ByteLevel(add_prefix_space=False" in rules
+        letters = _byte_letters()
+        self.letters = {chr(b): "".join(letters[x] for x in chr(b).encode()) for b in range(0x80, 0x100)}
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def part(self, part: str) -> bytes:
+        key = part if part.isascii() else "".join(self.letters.get(c, c) for c in part)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(key)])
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) >= REMEMBERED:
             self.clear()
-        if self.odd.search(word) or not self.plain:
-            out = self.encode(word)
+        text, parts = word.decode(), self.parts
+        if self._odd.search(text) or not self.plain:
+            out = self.whole(text)
         else:
-            out, parts = [], self.parts
-            for p in self._parts.findall(word.lower()):
-                if p not in parts:
-                    if len(parts) > REMEMBERED:
+            out = []
+            for p in self._parts.findall(text.lower()):
+                ids = parts.get(p)
+                if ids is None:
+                    if len(parts) >= REMEMBERED:
                         parts.clear()
-                    parts[p] = self.encode(p)
-                out.append(parts[p])
+                    ids = parts[p] = self.part(p)
+                out.append(ids)
             out = b"".join(out)
         self[word] = out
         return out
 
 
+@lru_cache(maxsize=2)
+def _words_of(path: str) -> WordTokens:
+    """One table for each tokenizer file and Python worker: tasks that a worker runs in turn share it."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids) for each piece of every row."""
     kind, path = dict(docs.dtypes)[id_col], path or public_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = _words_of(path)
         for b in batches:
             out = []
 
