@@ -7,6 +7,7 @@ from ..functions import vectors as V
 from ..functions.planefit import plane_fit
 from ..operators import growth, polygons, ransac, voxels
 from ..operators import statistics as S
+from ..shared_store import written
 from ..tables import table
 from .fixtures import ORIENT, PTS, SIZE, fit_sql, orient, pts, q6, r6, vox, vox_sql
 from .orientation_queries import _OD, with_dips
@@ -305,7 +306,7 @@ def with_normals(spark, sf):
     from .point_queries import K, point_normals
 
     p = pts(spark, sf).select("point_id", "fam", "x", "y", "z")
-    return p.join(point_normals(p, K, 0.6), "point_id")
+    return written(p.join(point_normals(p, K), "point_id"), "normals")
 
 
 @query()
@@ -350,7 +351,7 @@ def shape_distributions(spark, sf):
 
 @query()
 def mst_orientation(spark, sf):
-    return growth.oriented_normals(with_normals(spark, sf).where("nx IS NOT NULL"), 6, 0.6)
+    return growth.oriented_normals(with_normals(spark, sf).where("nx IS NOT NULL"), 6)
 
 
 @query()
@@ -384,14 +385,15 @@ def voxel_patch_pipeline(spark, sf):
 
     p = voxels.with_voxels(with_normals(spark, sf), SIZE)
     seeds, marked = patches.least_squares_patches(p, 0.03, 30)
+    seeds, marked = written(seeds, "seeds"), written(marked, "marked")
     name = F.col("vx") * 1000000 + F.col("vy") * 1000 + F.col("vz")
     s = seeds.withColumn("seed", name)
     members = marked.where("on_plane").withColumn("seed", name)
     free = marked.where("NOT on_plane AND nx IS NOT NULL")
     grown = patches.grow_seeds(s.select("seed", *KEY, "a", "b", "c", "d"), free.select("point_id", *KEY, "x", "y", "z", "nx", "ny", "nz"), members.select("seed", "x", "y", "z"), patches.growth_levels(0.1, 30.0, 0.02, 5.0), 5.0)
-    every = members.select("point_id", "seed").unionByName(grown)
+    every = written(members.select("point_id", "seed").unionByName(grown), "members")
     own = p.join(every, "point_id")
-    fits = plane_fit(own, ["seed"]).withColumnRenamed("seed", "patch")
+    fits = written(plane_fit(own, ["seed"]).withColumnRenamed("seed", "patch"), "fits")
     near = patches.patch_adjacency(own.withColumnRenamed("seed", "patch"))
     disc = patches.merge_patches(fits, near, 10.0, 0.5, SIZE)
     return every.join(disc.withColumnRenamed("patch", "seed"), "seed").select("point_id", "seed", "disc")

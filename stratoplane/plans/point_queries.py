@@ -145,7 +145,7 @@ KNN = f"""near AS (SELECT a.point_id AS a_id, unnest(min(ROW({D2}, b.point_id),
 @query(f"WITH {PTS}, {KNN} SELECT a_id, b_id, {q6('sqrt(d2)')} AS distance, CAST(row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS INTEGER) AS rank FROM knn")
 def knn_join(spark, sf):
     p = pts(spark, sf)
-    return neighbours.knn_join(p, p, K, 0.6).select("a_id", "b_id", r6(F.sqrt("d2")).alias("distance"), "rank")
+    return neighbours.knn_join(p, p, K).select("a_id", "b_id", r6(F.sqrt("d2")).alias("distance"), "rank")
 
 
 @query(f"""WITH {PTS}, r AS (SELECT event_id AS point_id, x + 3e-2 AS x, y - 2e-2 AS y, z FROM (SELECT event_id, p.x, p.y, p.z FROM events JOIN pts p ON p.point_id = events.event_id) WHERE (event_id // 4) % 2 = 0),
@@ -155,17 +155,17 @@ def nn1_curvature_map(spark, sf):
     """Every point takes the curvature (value) of the nearest point of another cloud (every other four points, shifted)."""
     p = pts(spark, sf)
     other = p.where("floor(point_id / 4) % 2 = 0").withColumns({"x": F.col("x") + 0.03, "y": F.col("y") - 0.02})
-    near = neighbours.knn_join(p, other, 1, 0.5).select(F.col("a_id").alias("point_id"), F.col("b_id").alias("from_id"))
+    near = neighbours.knn_join(p, other, 1).select(F.col("a_id").alias("point_id"), F.col("b_id").alias("from_id"))
     return near.join(other.select(F.col("point_id").alias("from_id"), "value"), "from_id").select("point_id", "from_id", r6("value").alias("curvature"))
 
 
 @query(f"""WITH {PTS}, {KNN}, nb AS (SELECT a_id AS point_id, p.x, p.y, p.z FROM knn JOIN pts p ON p.point_id = b_id), {fit_sql('nb', ['point_id'])}
  SELECT point_id, {q6('a')} AS nx, {q6('b')} AS ny, {q6('c')} AS nz, {q6('curvature')} AS curvature FROM fit""")
 def normals_curvature_knn(spark, sf):
-    return point_normals(pts(spark, sf), K, 0.6).select("point_id", *(r6(c).alias(c) for c in ("nx", "ny", "nz")), r6("curvature").alias("curvature"))
+    return point_normals(pts(spark, sf), K).select("point_id", *(r6(c).alias(c) for c in ("nx", "ny", "nz")), r6("curvature").alias("curvature"))
 
 
-def point_normals(p: DataFrame, k: int, cell: float) -> DataFrame:
+def point_normals(p: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """point_id with the normal and curvature of its k nearest points; NULL normal and curvature 0 where they fix no plane."""
     near = neighbours.knn_join(p, p, k, cell)
     around = near.select(F.col("a_id").alias("point_id"), "b_id").join(p.select(F.col("point_id").alias("b_id"), "x", "y", "z"), "b_id")

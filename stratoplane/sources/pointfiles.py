@@ -277,7 +277,9 @@ def read_numbered_folder(spark: SparkSession, folder: str, pattern: str = r"disc
 
 
 def read_spaced(spark: SparkSession, path: str, names: list[str], strict: bool = False) -> DataFrame:
-    """White-space separated columns with line numbers by file; rows with too few or unreadable values are left out, or raise."""
+    """White-space separated columns with line numbers by file; rows with too few or unreadable values are left out, or raise.
+
+    Names must differ in more than case."""
     lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "v"))
     cut = lines.select("line_no", F.split(F.trim("v"), r"\s+").alias("c"), "v").where("trim(v) <> ''")
     good = F.size("c") >= len(names)
