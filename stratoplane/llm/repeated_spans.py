@@ -7,8 +7,9 @@ document with a smaller id.
    and neighbouring windows mostly share one. Each partition counts, in a count-min sketch, the documents that hold an
    anchor; the partitions' sketches are added up, piece by piece, with a shuffle. A window's estimate (its anchor's) is never
    below the number of documents that hold the window, so windows estimated at one document cannot repeat: none is lost.
-   The sketch has a fixed size, DEPTH * 2**WIDTH_BITS bytes, and is all that is broadcast. On more text it lets more windows
-   through (to be grouped for nothing), never fewer; raise ``width_bits`` with the corpus.
+   What is broadcast is one bit per counter for "at least two" and one for "above HOT": DEPTH * 2**WIDTH_BITS / 4 bytes, a
+   fixed size. On more text the sketch lets more windows through (to be grouped for nothing), never fewer; raise
+   ``width_bits`` with the corpus.
 2. Exact grouping of the windows that are estimated to repeat. The windows of one anchor travel as one packed row, and
    every anchor's rows are streamed in the order of document ids: the first document to show a window keeps it, later ones
    lose it. Anchors with an estimate above HOT are first streamed by (anchor, salt of the document); only each salt's first
@@ -75,8 +76,9 @@ def _slots(anchors: np.ndarray, depth: int, width_bits: int) -> np.ndarray:
     return (bytetext.mix(anchors ^ U64(_SALT[depth])) >> U64(64 - width_bits)).astype(np.int64)
 
 
-def anchor_sketch(docs: DataFrame, id_col: str, text_col: str, width_bits: int = WIDTH_BITS) -> np.ndarray:
-    """The merged sketch: DEPTH rows of 2**width_bits counters that stop at 255."""
+def anchor_sketch(docs: DataFrame, id_col: str, text_col: str, width_bits: int = WIDTH_BITS) -> tuple[bytes, bytes]:
+    """The merged sketch, DEPTH rows of 2**width_bits counters that stop at 255, as bits: at least 2, and above HOT."""
+    hot_from = HOT
     piece_bits = min(PIECE_BITS, width_bits)
 
     def count(batches):
@@ -103,27 +105,37 @@ def anchor_sketch(docs: DataFrame, id_col: str, text_col: str, width_bits: int =
                 one = np.frombuffer(zlib.decompress(counts), np.uint8)
                 sums[k] = one if k not in sums else np.minimum(255, sums[k].astype(np.uint16) + one).astype(np.uint8)
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["piece", "counts"])
+            bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (v >= 2, v > hot_from)]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *bits], names=["piece", "two", "hot"])
 
     parts = docs.select(id_col, text_col).mapInArrow(count, "piece long, counts binary")
-    merged = parts.repartition("piece").mapInArrow(merge, "piece long, counts binary")
-    sketch = np.zeros((DEPTH << width_bits >> piece_bits, 1 << piece_bits), np.uint8)
-    for piece, counts in merged.collect():  # bounded by the sketch's fixed size
-        sketch[piece] = np.frombuffer(zlib.decompress(bytes(counts)), np.uint8)
-    return sketch.reshape(DEPTH, 1 << width_bits)
+    merged = parts.repartition("piece").mapInArrow(merge, "piece long, two binary, hot binary")
+    size = (1 << piece_bits) // 8
+    two, hot = (bytearray((DEPTH << width_bits) // 8) for _ in range(2))
+    for piece, some, many in merged.collect():  # bounded by the sketch's fixed size
+        two[piece * size : (piece + 1) * size], hot[piece * size : (piece + 1) * size] = some, many
+    return bytes(two), bytes(hot)
 
 
-def estimated_repeats(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray) -> DataFrame:
-    """anchor, doc, first (word), est and the packed hashes of each run of windows whose anchor is estimated in two documents."""
+def _all_set(bits: bytes, anchors: np.ndarray, width_bits: int) -> np.ndarray:
+    """Whether every row of the sketch has the anchors' bits set."""
+    held, out = np.frombuffer(bits, np.uint8), np.ones(len(anchors), bool)
+    for d in range(DEPTH):
+        slot = _slots(anchors, d, width_bits) + (d << width_bits)
+        out &= ((held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+    return out
+
+
+def estimated_repeats(docs: DataFrame, id_col: str, text_col: str, sketch: tuple[bytes, bytes]) -> DataFrame:
+    """anchor, doc, first (word), hot and the packed hashes of each run of windows whose anchor is estimated in two documents."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
-    width_bits = int(sketch.shape[1]).bit_length() - 1
+    width_bits = (len(sketch[0]) * 8 // DEPTH).bit_length() - 1
 
     def find(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, words, begin, row, anchors, first, last in anchor_runs(b.column(1)):
-                est = np.minimum.reduce([held.value[d][_slots(anchors, d, width_bits)] for d in range(DEPTH)])
-                hit = np.flatnonzero(est >= 2)
+                hit = np.flatnonzero(_all_set(held.value[0], anchors, width_bits))
                 if not len(hit):
                     continue
                 first, last, row = first[hit], last[hit], row[hit]
@@ -133,12 +145,12 @@ def estimated_repeats(docs: DataFrame, id_col: str, text_col: str, sketch: np.nd
                 places = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(places), pa.py_buffer(windows[at].tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors[hit].view(np.int64)), pa.array(ids[lo + row]), pa.array(first - begin[row]), pa.array(est[hit].astype(np.int32)), packed],
-                    names=["anchor", "doc", "first", "est", "windows"],
+                    [pa.array(anchors[hit].view(np.int64)), pa.array(ids[lo + row]), pa.array(first - begin[row]), pa.array(_all_set(held.value[1], anchors[hit], width_bits)), packed],
+                    names=["anchor", "doc", "first", "hot", "windows"],
                 )
 
     held_rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return held_rows.mapInArrow(find, "anchor long, doc long, first long, est int, windows binary")
+    return held_rows.mapInArrow(find, "anchor long, doc long, first long, hot boolean, windows binary")
 
 
 def _stream(keys: list[str], forward: bool):
@@ -182,9 +194,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width_bits: int
     """doc, spans: for each document with repeated passages the array of (first, n) runs of marked windows, in order."""
     rows = estimated_repeats(docs, id_col, text_col, anchor_sketch(docs, id_col, text_col, width_bits))
     rows = written(rows, "windows")
-    few = rows.where(F.col("est") <= HOT).repartition("anchor").sortWithinPartitions("anchor", "doc", "first")
+    few = rows.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "first")
     marks = few.select("anchor", "doc", "first", "windows").mapInArrow(_stream(["anchor"], False), _MARKS)
-    hot = rows.where(F.col("est") > HOT).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    hot = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
     hot = hot.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "first")
     streamed = written(hot.select("anchor", "salt", "doc", "first", "windows").mapInArrow(_stream(["anchor", "salt"], True), _MARKS), "hot-windows")
     heads = streamed.where("n IS NULL").select("hash", "doc", "first")
