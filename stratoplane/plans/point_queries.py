@@ -357,3 +357,15 @@ def ransac_best_plane(spark, sf):
 
 def flagship(spark, folder):
     return plane_fit_voxel(spark, folder, 5.0)
+
+
+_GRID = f"{PTS}, g AS (SELECT x, y, z, CAST(floor(x / 4e0) AS BIGINT) AS vx, CAST(floor(y / 4e0) AS BIGINT) AS vy, CAST(floor(z / 4e0) AS BIGINT) AS vz FROM pts), {fit_sql('g', KEY)}"
+
+
+@query(f"WITH {_GRID} SELECT vx, vy, vz, n, {', '.join(f'{q6(c)} AS {c}' for c in 'a b c d rmse'.split())} FROM fit WHERE n >= 50")
+def voxel_plane_sums(spark, sf):
+    """The streaming form of the voxel fit, on a fixed grid, run as a batch."""
+    from ..streaming.voxel_planes import voxel_planes
+
+    f = voxel_planes(pts(spark, sf), 4.0).where("n >= 50")
+    return f.select(*KEY, "n", *(r6(c).alias(c) for c in "a b c d rmse".split()))
