@@ -9,7 +9,7 @@
    vote. The result is a posterior label for each text.
 3. Classifier. Logistic regression on the posterior labels, over counts and rates of the stems and the patterns.
 
-Fitting takes a bounded sample of labelled rows, at most SAMPLE of either label, chosen by a hash; the score's prior is that of
+Ids are integers. Fitting takes a bounded sample of labelled rows, about SAMPLE of either label, chosen by a hash; the score's prior is that of
 all labelled rows. Scoring is a row-wise map over whole texts. Null and empty texts get the score of a text without any
 stem. Without labelled rows every score is 0. Columns named as the results are replaced; an empty table gives an empty result.
 """
@@ -212,7 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     few = F.lit(False)
     for label, n in counts.items():
         few = few | ((F.col("_label") == label) & (hashed < int(min(1.0, sample / n) * (1 << 24)) + 1))
-    rows = docs.select(id_col, text_col).join(known.where(few), id_col).select("_label", F.coalesce(text_col, F.lit("")).cast("binary").alias("text")).limit(4 * sample).collect()
+    # Bounded by the sample, so the ids are local data of known size and texts stay where they are.
+    picked = known.where(few).limit(4 * sample).collect()
+    chosen = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array([r[0] for r in picked], pa.int64()), "_label": pa.array([r[1] for r in picked], pa.int32())}))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_label", "text").limit(4 * sample).collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return Model([r[1] for r in rows], np.array([r[0] for r in rows], np.int64), share)
