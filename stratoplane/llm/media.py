@@ -46,17 +46,19 @@ def wav_samples(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """The strongest frequency bin (1 up to FRAME/2 - 1) of each frame; the last frame is filled with silence."""
+    """The strongest frequency bin (1 up to FRAME/2 - 1) of each frame; the last frames are filled with silence, so that the
+    shortest payload has two frames to pair."""
     x = np.frombuffer(samples, np.uint8)
-    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
+    n = 1 + -(-len(x) // HOP)
     window = np.hanning(FRAME).astype(np.float32)
     out = np.empty(n, np.int64)
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
         part = x[lo * HOP : (hi - 1) * HOP + FRAME].astype(np.float32) - np.float32(128)
         part = np.pad(part, (0, (hi - lo - 1) * HOP + FRAME - len(part)))
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * window
-        spectrum = np.fft.rfft(frames, axis=1)[:, 1 : FRAME // 2]
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        # Without its mean, or a frame's level would drown its lowest frequency.
+        spectrum = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1)[:, 1 : FRAME // 2]
         out[lo:hi] = 1 + np.argmax(spectrum.real**2 + spectrum.imag**2, axis=1)
     return out
 

@@ -122,7 +122,8 @@ def test_media_round_trip(spark, folder):
         for r in found[i]:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
             assert (r["media_bytes"], r["media_sha256"]) == (len(media.wav_bytes(raw)), hashlib.sha256(media.wav_bytes(raw)).hexdigest())
-    assert found[6][0]["feature"] == found[15][0]["feature"] and found[0][0]["feature"] == found[1][0]["feature"] != found[4][0]["feature"]
+    assert found[6][0]["feature"] == found[15][0]["feature"] and found[0][0]["feature"] == found[1][0]["feature"]
+    assert len({found[i][0]["feature"] for i in (4, 8, 10, 11, 12, 13)}) == 6
 
 
 def test_peaks_find_a_tone_and_do_not_depend_on_blocks(monkeypatch):
