@@ -1,7 +1,8 @@
 """Registered queries and their SQL."""
 
-from . import orientation_queries, plot_queries, point_queries
+from . import extra_queries, orientation_queries, plot_queries, point_queries
 
-QUERIES = {**point_queries.QUERIES, **orientation_queries.QUERIES, **plot_queries.QUERIES}
-ORACLES = {**point_queries.ORACLES, **orientation_queries.ORACLES, **plot_queries.ORACLES}
+_ALL = (point_queries, orientation_queries, plot_queries, extra_queries)
+QUERIES = {name: q for module in _ALL for name, q in module.QUERIES.items()}
+ORACLES = {name: sql for module in _ALL for name, sql in module.ORACLES.items()}
 flagship = point_queries.flagship
