@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op4_repeated_spans": repeated_spans.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_top_k": topk.ORACLE,
+    "op10_near_copies": near_copies.ORACLE,
 }
