@@ -24,7 +24,7 @@ from ..tables import table
 from . import bytetext
 
 #: Hashed n-grams; rows that the machines are fitted on in all.
-DIMS, SAMPLE = 4096, 4000
+DIMS, SAMPLE = 4096, 2000
 UNKNOWN = "und"
 #: Families of closely related languages.
 FAMILIES = {
@@ -60,18 +60,20 @@ def ngram_vector(text: np.ndarray, segment: int = 1 << 19) -> np.ndarray:
     return x / (np.linalg.norm(x) or 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 25, seed: int = 11) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear machine with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    size, draw = (x**2).sum(axis=1) + 0.5 / cost, np.random.default_rng(seed)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 25, seed: int = 11) -> np.ndarray:
+    """Weights (the last one is the bias) of a linear machine with squared hinge loss on some rows of x, by dual coordinate
+    descent. x is read in place, never copied."""
+    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(rows))
+    size, draw = np.einsum("ij,ij->i", x, x)[rows] + 1.0 + 0.5 / cost, np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in draw.permutation(len(x)):
-            new = max(0.0, alpha[i] - (y[i] * float(x[i] @ w) - 1 + alpha[i] * 0.5 / cost) / size[i])
+        for i in draw.permutation(len(rows)):
+            one = x[rows[i]]
+            new = max(0.0, alpha[i] - (y[i] * (float(one @ w) + bias) - 1 + alpha[i] * 0.5 / cost) / size[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
-                alpha[i] = new
-    return w
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * one
+                bias, alpha[i] = bias + step, new
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -83,11 +85,12 @@ class Model:
         family = np.array([_FAMILY_OF.get(v, v) for v in labels], dtype=object)
         self.members = {f: sorted(v for v in langs if _FAMILY_OF.get(v, v) == f) for f in sorted(set(family.tolist()))}
         self.families = list(self.members)
-        weights = [svm(x, np.where(family == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
+        every = np.arange(len(x))
+        weights = [svm(x, every, np.where(family == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = [(f, a, b) for f, own in self.members.items() for a, b in itertools.combinations(own, 2)]
         for _, a, b in self.pairs:
             at = np.flatnonzero((lang == a) | (lang == b))
-            weights.append(svm(x[at], np.where(lang[at] == a, 1.0, -1.0)))
+            weights.append(svm(x, at, np.where(lang[at] == a, 1.0, -1.0)))
         self.weights = np.array(weights, np.float32).reshape(len(weights), DIMS + 1)
 
     def predict(self, vector: np.ndarray) -> tuple[str, float]:
@@ -129,9 +132,11 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, learn: Colum
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["lang", "x"])
 
     rows = usable.where(chosen).select(F.col(lang_col).cast("string"), text_col).mapInArrow(vectors, "lang string, x binary").limit(2 * sample).collect()
-    rows = sorted((r[0], bytes(r[1])) for r in rows)
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), DIMS)
-    return Model(x, [r[0] for r in rows])
+    rows.sort(key=lambda r: (r[0], bytes(r[1])))
+    x, labels = np.empty((len(rows), DIMS), np.float32), [r[0] for r in rows]
+    for k in range(len(rows)):
+        x[k], rows[k] = np.frombuffer(bytes(rows[k][1]), np.float32), None
+    return Model(x, labels)
 
 
 def identified(docs: DataFrame, text_col: str, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
