@@ -5,6 +5,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orientation_clusters import ranked
+
 
 def fixed_histogram(values: DataFrame, column: str, width: float, low: float, high: float, keys: list[str] = ()) -> DataFrame:
     """Counts in bins of a fixed width; the last bin includes the upper edge, values outside are left out."""
@@ -107,6 +109,20 @@ def wasserstein_quantile(a: DataFrame, b: DataFrame, column: str, n: int = 101)
     return both.select((total / F.lit(n)).alias("distance"))
 
 
+def wasserstein_ranked(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The mean distance of as many equally spaced quantiles as the larger sample has values: its own values in order against
+    the smaller one's, interpolated between its ranks. One row."""
+    n, m = a.count(), b.count()
+    if n < m:
+        a, b, n, m = b, a, m, n
+    of = lambda df, at, name: ranked(df.select(F.col(column).alias("v")), [F.col("v")], "v", at).select((F.col(at) - 1).alias(at), F.col("v").alias(name))
+    at = F.col("k") * F.lit((m - 1) / max(1, n - 1))
+    low, right = F.floor(at + 1e-9).cast("long"), of(b, "r", "w")
+    big = of(a, "k", "v").withColumns({"lo": low, "hi": F.least(low + 1, F.lit(m - 1)), "part": F.greatest(at - low, F.lit(0.0))})
+    both = big.join(right.select(F.col("r").alias("lo"), F.col("w").alias("p")), "lo").join(right.select(F.col("r").alias("hi"), F.col("w").alias("q")), "hi")
+    return both.agg(F.avg(F.abs(F.col("v") - F.col("p") - F.col("part") * (F.col("q") - F.col("p")))).alias("distance"))
+
+
 def histogram_l1(a: DataFrame, b: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """The sum of absolute differences of two normalised histograms."""
     def share(df: DataFrame, name: str) -> DataFrame:

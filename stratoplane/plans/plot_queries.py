@@ -357,7 +357,7 @@ def mst_orientation(spark, sf):
 @query()
 def curvature_search(spark, sf):
     p = with_normals(spark, sf).where("nx IS NOT NULL")
-    return growth.curvature_search(p, 0.05, 0.01, 0.4, 6, 3)
+    return growth.curvature_search(p, 0.05, 0.01, 0.4, 6)
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratoplane.operators import growth, neighbours, patches, voxels
 from stratoplane.operators.graph import components
+from stratoplane.operators.statistics import wasserstein_ranked
 
 
 def frame(spark, xyz, normals=None):
@@ -113,3 +114,26 @@ def test_components_of_nothing(spark):
 def test_shape_distributions_are_shares(spark, cloud):
     got = growth.shape_distributions(frame(spark, cloud[:60]), 0.8, 32, 8).collect()
     assert len(got) == 300 and all(abs(sum(r["histogram"]) - 1) < 1e-9 for r in got)
+
+
+def test_curvature_search_goes_on_until_it_is_still(spark):
+    """A large even cluster and a small rough one that loses its rougher points: an average over all points hardly moves."""
+    draw = np.random.default_rng(4)
+    flat = np.column_stack([draw.uniform(0, 2, (900, 2)), np.zeros(900)])
+    rough = np.column_stack([draw.uniform(0, 1, (120, 2)), np.full(120, 9.0)])
+    tilt = np.vstack([np.zeros((900, 2)), draw.normal(0, 0.4, (120, 2)) * np.repeat([[0.1], [1.0]], 60, axis=0)])
+    normals = np.column_stack([tilt, np.ones(1020)])
+    normals /= np.linalg.norm(normals, axis=1)[:, None]
+    curvature = np.r_[np.full(960, 0.001), np.full(60, 0.085)]
+    points = frame(spark, np.vstack([flat, rough]), normals).join(spark.createDataFrame([(i, float(c)) for i, c in enumerate(curvature)], "point_id long, curvature double"), "point_id")
+    rows = sorted(growth.curvature_search(points, 0.1, 0.02, 0.6, 4, patience=2, smallest=40).collect())
+    assert [(r["clusters"], r["used"]) for r in rows] == [(2, 2)] * 4
+    assert rows[0]["difference"] is None and rows[1]["difference"] > 500 and max(r["difference"] for r in rows[2:]) < 1e-6
+
+
+def test_wasserstein_of_samples_of_different_size(spark):
+    a, b = [5.0, 1.0, 4.0, 9.0, 2.5], [3.0, 8.0, 0.5]
+    of = lambda v: spark.createDataFrame([(x,) for x in v], "v double")
+    want = lambda x, y: np.abs(np.quantile(x, np.linspace(0, 1, max(len(x), len(y)))) - np.quantile(y, np.linspace(0, 1, max(len(x), len(y))))).mean()
+    for x, y in ((a, b), (b, a), (a, [2.0]), ([2.0], [7.0])):
+        assert abs(wasserstein_ranked(of(x), of(y), "v").first()[0] - want(x, y)) < 1e-9
