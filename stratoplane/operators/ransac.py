@@ -4,6 +4,7 @@ All candidates of a round are scored in one pass over the points; the candidates
 in the plan, exploded against each point and summed before the shuffle.
 """
 
+import uuid
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.planefit import plane_fit
 from ..functions.vectors import dot, plane_through, vec
-from ..shared_store import written
+from ..shared_store import shared_folder, written
 
 _MOD, _MUL, _ADD = 2147483647, 48271, 11
 
@@ -66,14 +67,21 @@ def best_plane(points: DataFrame, candidates: DataFrame, threshold: float) -> Da
     return plane_fit(near, ["cand"])
 
 
-def detect_planes(points: DataFrame, threshold: float, least: int, tries: int, most: int = 50, seed: int = 1, weight: str | None = None, sigma: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Plane after plane: the best candidate's inliers leave, until fewer than ``least`` remain.
+def detect_planes(points: DataFrame, threshold: float, least: int, tries: int, most: int | None = None, seed: int = 1, weight: str | None = None, sigma: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Plane after plane: the best candidate's inliers leave, until fewer than ``least`` points remain or the best candidate has
+    fewer inliers. ``most`` ends the search early.
 
-    Returns planes (plane_id, fit) and members (plane_id, point_id). The remaining points are written after each plane."""
-    rest, planes, members = points, None, None
-    for k in range(most):
-        found = candidate_planes(rest, seed + k, tries)
+    Returns planes (plane_id, fit) and members (plane_id, point_id). Each plane's points and the remaining ones are written, so
+    plans stay short however many planes there are."""
+    spark, rest, k = points.sparkSession, points, 0
+    folder = f"{shared_folder(spark)}/ransac-planes-{uuid.uuid4().hex}"
+    none = points.limit(0).withColumn("plane_id", F.lit(0))
+    none.write.parquet(folder)
+    while (most is None or k < most) and rest.limit(least).count() >= least:
+        found = written(candidate_planes(rest, seed + k, tries), "candidates")
         scored = scores(rest, found, threshold, sigma, weight)
+        if sigma:
+            scored = scored.where(F.col("inliers") >= least)
         key = F.desc("score") if sigma else F.desc("inliers")
         top = scored.orderBy(key, "cand").limit(1).join(found, "cand").first()
         if top is None or top["inliers"] < least:
@@ -81,17 +89,10 @@ def detect_planes(points: DataFrame, threshold: float, least: int, tries: int, m
         n = (F.lit(top["a"]), F.lit(top["b"]), F.lit(top["c"]))
         on = F.abs(dot(n, vec("x", "y", "z")) + F.lit(top["d"])) <= threshold
         marked = written(rest.withColumn("_on", on), "ransac")
-        inliers = marked.where("_on").drop("_on").withColumn("plane_id", F.lit(k))
-        fit = plane_fit(inliers, ["plane_id"], weight)
-        own = inliers.select("plane_id", "point_id")
-        planes, members = (fit, own) if planes is None else (planes.unionByName(fit), members.unionByName(own))
-        rest = marked.where("NOT _on").drop("_on")
-        if rest.limit(least).count() < least:
-            break
-    if planes is None:
-        none = points.limit(0).withColumn("plane_id", F.lit(0))
-        return plane_fit(none, ["plane_id"]), none.select("plane_id", "point_id")
-    return planes, members
+        marked.where("_on").drop("_on").withColumn("plane_id", F.lit(k)).write.mode("append").parquet(folder)
+        rest, k = marked.where("NOT _on").drop("_on"), k + 1
+    inliers = spark.read.schema(none.schema).parquet(folder)
+    return plane_fit(inliers, ["plane_id"], weight), inliers.select("plane_id", "point_id")
 
 
 def _fit_numpy(xyz: np.ndarray) -> tuple[np.ndarray, float]:

@@ -113,7 +113,7 @@ def detector_runs(spark, sf):
         return orientation_clusters.angular_dbscan(o, eps, least)
 
     found = runs.runs(
-        p, [runs.Step("fine", ransac.detect_planes, {"threshold": 0.03, "least": 200, "tries": 60, "most": 4}), runs.Step("coarse", ransac.detect_planes, {"threshold": 0.1, "least": 200, "tries": 40, "most": 4})],
+        p, [runs.Step("fine", ransac.detect_planes, {"threshold": 0.03, "least": 200, "tries": 1000}), runs.Step("coarse", ransac.detect_planes, {"threshold": 0.1, "least": 200, "tries": 1000})],
         [runs.Step("density", labels, {"eps": 10.0, "least": 1})],
     )
     out = None

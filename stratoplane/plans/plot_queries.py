@@ -316,14 +316,14 @@ def region_growing(spark, sf):
 
 @query()
 def sequential_ransac(spark, sf):
-    planes, _ = ransac.detect_planes(pts(spark, sf).select("point_id", "x", "y", "z"), 0.05, 100, 200, 4)
+    planes, _ = ransac.detect_planes(pts(spark, sf).select("point_id", "x", "y", "z"), 0.05, 100, 1000)
     return planes.select("plane_id", "n", *(r6(c).alias(c) for c in "abcd"))
 
 
 @query()
 def weighted_ransac(spark, sf):
     p = S.curvature_weights(pts(spark, sf), "value", 0.5, 0.05)
-    planes, _ = ransac.detect_planes(p, 0.05, 100, 100, 2, weight="weight", sigma=0.02)
+    planes, _ = ransac.detect_planes(p, 0.05, 100, 100, weight="weight", sigma=0.02)
     return planes.select("plane_id", "n", *(r6(c).alias(c) for c in "abcd"))
 
 

@@ -86,3 +86,15 @@ def test_growth_levels_and_merge():
     flat = np.diag([1.0, 1.0, 0.0])
     rows = [{"patch": k, "error": 0.1 * k, "n": 10, "c": (1.5 * k, 0, 0), "m": flat} for k in range(3)] + [{"patch": 9, "error": 0.0, "n": 10, "c": (0, 0, 2), "m": flat}]
     assert greedy_merge(rows, [(0, 1), (1, 2), (0, 9)], 10, 0.5, 1.0) == {9: 9, 0: 0, 1: 0, 2: 0}
+
+
+def test_ransac_query_finds_every_plane(spark, monkeypatch):
+    """Six planes, two more than the query once stopped at, and fewer stray points than a plane needs."""
+    from stratoplane.plans import plot_queries
+
+    draw = np.random.default_rng(8)
+    xyz = np.vstack([np.column_stack([draw.uniform(-5, 5, (130, 2)), np.full(130, 10.0 * k)]) for k in range(6)] + [draw.uniform(100, 200, (20, 3))])
+    points = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double").coalesce(1)
+    monkeypatch.setattr(plot_queries, "pts", lambda spark, sf: points)
+    found = plot_queries.sequential_ransac(spark, "").collect()
+    assert sorted((r["n"], round(-r["d"])) for r in found) == [(130, 10 * k) for k in range(6)] and sorted(r["plane_id"] for r in found) == list(range(6))
