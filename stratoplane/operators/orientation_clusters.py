@@ -100,6 +100,11 @@ def density_labels(rows: DataFrame, ident: str, pairs: DataFrame, least: int) ->
     return out.withColumn("label", F.coalesce("label", "near", F.lit(-1)).cast("long")).drop("near")
 
 
+def density_minimum(first: int, ratio: float = 0.05) -> int:
+    """The least neighbours of a core in a first layer of ``first`` rows, itself counted: a share of them (halves to even), 3 at least."""
+    return max(3, round(ratio * first))
+
+
 def angular_dbscan(rows: DataFrame, eps: float, least: int) -> DataFrame:
     return density_labels(rows, "disc_id", angular_pairs(rows, eps), least)
 
@@ -157,6 +162,12 @@ def fuzzy_c_means(rows: DataFrame, centres: list[tuple], m: float = 2.0, toleran
     return member, now
 
 
+def centre_masses(member: DataFrame, k: int, m: float = 2.0) -> list[float]:
+    """The sum of alpha * mu^m of all samples for each of ``k`` centres, the weight of a centre in a merge."""
+    found = {r["k"]: r["w"] for r in member.groupBy("k").agg(F.sum(F.col("alpha") * F.pow(F.col("mu"), F.lit(m))).alias("w")).collect()}  # one row per centre
+    return [float(found.get(i) or 0.0) for i in range(k)]
+
+
 def merge_centres(centres: list[tuple], mass: list[float], eps: float, loops: int) -> tuple[list[tuple], list[int]]:
     """Merge the closest two centres while they are less than eps degrees apart, at most ``loops`` times.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import orientation_clusters as O
+from ..shared_store import written
 from ..tables import table
 from .fixtures import ORIENT, orient, q6, r6
 
@@ -215,14 +216,14 @@ def cluster_table(spark, sf):
 
 @query()
 def fuzzy_clustering(spark, sf):
-    """The whole run: quality, first layer, density clusters, seeds, fuzzy iterations, merging, labels and confidence."""
-    w = O.sample_weights(layered(spark, sf), 0.3)
-    layer = O.angular_dbscan(w.where("first_layer").select("disc_id", "nx", "ny", "nz"), 12.0, 4)
+    """The whole run: quality, first layer, density clusters, seeds, fuzzy iterations to the tolerance, merging, labels."""
+    w = written(O.sample_weights(layered(spark, sf), 0.3), "weighted")
+    first = w.where("first_layer").select("disc_id", "nx", "ny", "nz")
+    layer = O.angular_dbscan(first, 12.0, O.density_minimum(first.count()))
     start = [tuple(r[c] for c in O.C) for r in O.centres_of(layer).orderBy("label").collect()]
     start = [c[:3] for c in O.with_seeds(start, [_unit(s) for s in SEEDS], 10.0)]
     rows = w.select("disc_id", "nx", "ny", "nz", "alpha")
-    _, centres = O.fuzzy_c_means(rows, start, rounds=8)
-    mass = [1.0] * len(centres)
-    centres, _ = O.merge_centres(centres, mass, 15.0, 10)
+    member, centres = O.fuzzy_c_means(rows, start)
+    centres, _ = O.merge_centres(centres, O.centre_masses(member, len(centres)), 15.0, 10)
     m, _ = O.fuzzy_c_means(rows, centres, rounds=1)
     return O.assigned(m, 0.3)

@@ -40,3 +40,26 @@ def test_seeds_and_merges():
     assert len(merged) == 2 and number == [1, 1, 0] and O.merge_centres(centres, [1, 1, 1], 10.0, 0)[1] == [0, 1, 2]
     kept = O.with_seeds([(0.0, 0.0, 1.0)], [(0.0, 0.05, 0.998), (1.0, 0.0, 0.0), (0.999, 0.04, 0.0)], 10.0)
     assert [k[3] for k in kept] == [False, True]
+
+
+def test_fuzzy_clustering_runs_to_the_tolerance(spark, monkeypatch):
+    from stratoplane.plans import orientation_queries as Q
+
+    seen = {}
+
+    def spy(name):
+        plain = getattr(O, name)
+        monkeypatch.setattr(O, name, lambda *a, **b: seen.setdefault(name, []).append((a, b, out := plain(*a, **b))) or out)
+        return plain
+
+    again, _, _ = spy("fuzzy_c_means"), spy("angular_dbscan"), spy("merge_centres")
+    rows = Q.fuzzy_clustering(spark, "/root/testdata/sf0.001").collect()
+    (layer, _, least), _, _ = seen["angular_dbscan"][0]
+    assert least == max(3, round(0.05 * layer.count())) > 4 and len(rows) == 500
+    (data, *_), _, (member, centres) = seen["fuzzy_c_means"][0]
+    _, moved = again(data, centres, rounds=1)
+    assert max(np.degrees(np.arccos(min(1.0, abs(float(np.dot(a, b)))))) for a, b in zip(centres, moved)) < 0.01
+    mass = seen["merge_centres"][0][0][1]
+    pdf = member.toPandas()
+    want = (pdf["alpha"] * pdf["mu"] ** 2).groupby(pdf["k"]).sum()
+    assert np.allclose(mass, [want[k] for k in range(len(centres))])
