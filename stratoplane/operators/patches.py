@@ -40,35 +40,36 @@ def patch_adjacency(members: DataFrame, patch: str = "patch") -> DataFrame:
     return near.join(cells.select(F.col(patch).alias("q"), *KEY), KEY).where("p < q").select("p", "q").distinct()
 
 
-def edge_matches(edge: DataFrame, seeds: DataFrame, points: DataFrame, most_distance: float, most_angle: float) -> DataFrame:
+def edge_matches(edge: DataFrame, seeds: DataFrame, points: DataFrame, most_distance: float, most_angle: float, ident: tuple[str, ...] = ()) -> DataFrame:
     """For each edge patch (voxel, fit) the neighbouring voxels' seed that takes it, or the reason why none does.
 
     mw is the mean distance of the edge patch's points from the seed's plane, nw the angle of the planes; among seeds below both
     limits the smallest mw / limit + nw / limit wins, ties to the smaller voxel. A patch's own voxel is not searched.
-    points has the edge patch's points with its voxel."""
-    around = edge.select(*KEY, *(F.col(c).alias(f"e{c}") for c in PLANE))
+    points has the edge patch's points with its voxel; ``ident`` tells several edge patches of a voxel apart in both."""
+    own = [*KEY, *ident]
+    around = edge.select(*own, *(F.col(c).alias(f"e{c}") for c in PLANE))
     for c in KEY:
         around = around.withColumn(f"n{c[1]}", F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     around = around.where("NOT (nx = vx AND ny = vy AND nz = vz)")
     s = seeds.select(*(F.col(c).alias(f"n{c[1]}") for c in KEY), *(F.col(c).alias(f"s{c}") for c in (*PLANE, "d")))
     cand = around.join(s, ["nx", "ny", "nz"])
-    both = cand.join(points.select(*KEY, "x", "y", "z"), KEY)
+    both = cand.join(points.select(*own, "x", "y", "z"), own)
     dist = F.abs(dot(vec("sa", "sb", "sc"), vec("x", "y", "z")) + F.col("sd"))
     nw = plane_angle(vec("ea", "eb", "ec"), vec("sa", "sb", "sc"))
-    rated = both.groupBy(*KEY, "nx", "ny", "nz").agg(F.avg(dist).alias("mw"), F.first(nw).alias("nw"))
+    rated = both.groupBy(*own, "nx", "ny", "nz").agg(F.avg(dist).alias("mw"), F.first(nw).alias("nw"))
     ok_d, ok_a = F.col("mw") < most_distance, F.col("nw") < most_angle
     rated = rated.withColumns({"ok": ok_d & ok_a, "ok_d": ok_d, "ok_a": ok_a, "pw": F.col("mw") / most_distance + F.col("nw") / most_angle})
-    best = rated.groupBy(*KEY).agg(
+    best = rated.groupBy(*own).agg(
         F.min_by(F.struct("nx", "ny", "nz", "mw", "nw", "pw"), F.when(F.col("ok"), F.struct("pw", "nx", "ny", "nz"))).alias("m"),
         F.bool_or("ok").alias("any"), F.bool_or("ok_d").alias("any_d"), F.bool_or("ok_a").alias("any_a"),
     )
-    out = edge.select(*KEY).join(best, KEY, "left")
+    out = edge.select(*own).join(best, own, "left")
     reason = (
         F.when(F.col("any").isNull(), "no_neighbor_cluster").when(F.col("any"), "merged")
         .when(~F.col("any_d") & ~F.col("any_a"), "blocked_by_distance_and_angle").when(~F.col("any_d"), "blocked_by_edge_distance")
         .when(~F.col("any_a"), "blocked_by_edge_angle").otherwise("blocked_unknown")
     )
-    return out.select(*KEY, reason.alias("merge_reason"), *(F.when(F.col("any"), F.col(f"m.{c}")).alias(c) for c in ("nx", "ny", "nz", "mw", "nw", "pw")))
+    return out.select(*own, reason.alias("merge_reason"), *(F.when(F.col("any"), F.col(f"m.{c}")).alias(c) for c in ("nx", "ny", "nz", "mw", "nw", "pw")))
 
 
 def growth_levels(distance: float, angle: float, step_distance: float, step_angle: float) -> list[tuple[int, float, float]]:

@@ -152,11 +152,12 @@ def axes_numpy(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.cross(n, u)
 
 
-def voxel_patches(keyed: DataFrame, threshold: float, least: int, tries: int = 200, seed: int = 1, rounds: int = 1, thickness: float | None = None, cell: float | None = None, angle: float | None = None, eight: bool = True, by_points: bool = True) -> DataFrame:
+def voxel_patches(keyed: DataFrame, threshold: float, least: int, tries: int = 200, seed: int = 1, rounds: int = 1, thickness: float | None = None, cell: float | None = None, angle: float | None = None, eight: bool = True, by_points: bool = True, start: int = 0) -> DataFrame:
     """point_id, voxel and patch (0, 1, ... in its voxel; -1: none) of a seeded plane search in every voxel.
 
     With thickness the patch is the band of all the voxel's points around the plane; with angle (degrees) normals must agree;
-    with cell only the largest connected component of occupied cells in the plane stays. A voxel's points are one
+    with cell only the largest connected component of occupied cells in the plane stays. No search begins on fewer than
+    ``start`` points that are left. A voxel's points are one
     group: its size bounds them."""
     kinds = dict(keyed.dtypes)
     normals = all(c in kinds for c in ("nx", "ny", "nz")) and angle is not None
@@ -168,7 +169,7 @@ def voxel_patches(keyed: DataFrame, threshold: float, least: int, tries: int = 2
         key = zlib.crc32(repr((seed, *(int(pdf[c].iat[0]) for c in ("vx", "vy", "vz")))).encode())
         for k in range(rounds):
             at = np.flatnonzero(patch < 0)
-            if len(at) < least:
+            if len(at) < max(start, least):
                 break
             on = ransac_numpy(xyz[at], threshold, tries, key + k)
             if on.sum() < max(3, least):

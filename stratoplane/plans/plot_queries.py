@@ -1,5 +1,7 @@
 """Queries behind rose diagrams, stereonets, distributions and reports; tables, labels, tiles and exports."""
 
+import sys
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -377,20 +379,37 @@ def moe_growth(spark, sf):
     return growth.peak_growth(cop.select("voxel", "a", "b", "c"), near, peaks, 5.0, 10.0)
 
 
+#: Edge patches, as in the reference's preset: the least points left for a search and in a patch, the limits of distance and angle.
+EDGE_START, EDGE_LEAST, EDGE_DISTANCE, EDGE_ANGLE = 31, 26, 0.2, 10.0
+
+
 @query()
 def voxel_patch_pipeline(spark, sf):
-    """Seeds by voxel, growth over touching voxels, merging of patches: points with their discontinuity."""
+    """Seeds by a plane search in every voxel, edge patches of what is left, growth over touching voxels, merging of patches:
+    points with their discontinuity.
+
+    Edge patches are searched until a voxel's rest has none; each joins the best seed of a touching voxel or is a seed itself."""
     from ..operators import patches
     from ..operators.voxels import KEY
 
-    p = voxels.with_voxels(with_normals(spark, sf), SIZE)
-    seeds, marked = patches.least_squares_patches(p, 0.03, 30)
-    seeds, marked = written(seeds, "seeds"), written(marked, "marked")
+    p = written(voxels.with_voxels(with_normals(spark, sf), SIZE), "points")
     name = F.col("vx") * 1000000 + F.col("vy") * 1000 + F.col("vz")
-    s = seeds.withColumn("seed", name)
-    members = marked.where("on_plane").withColumn("seed", name)
-    free = marked.where("NOT on_plane AND nx IS NOT NULL")
-    grown = patches.grow_seeds(s.select("seed", *KEY, "a", "b", "c", "d"), free.select("point_id", *KEY, "x", "y", "z", "nx", "ny", "nz"), members.select("seed", "x", "y", "z"), patches.growth_levels(0.1, 30.0, 0.02, 5.0), 5.0)
+    first = written(ransac.voxel_patches(p, 0.03, 30, 1000), "first-planes").where("patch >= 0").select("point_id", name.alias("seed"))
+    found = p.join(first, "point_id")
+    seeds = written(plane_fit(found, ["seed", *KEY]), "seeds")
+    rest = p.join(first, "point_id", "left_anti")
+    edges = written(ransac.voxel_patches(rest, 0.03, EDGE_LEAST, 500, seed=2, rounds=sys.maxsize, start=EDGE_START), "edge-patches").where("patch >= 0").select("point_id", "patch")
+    edge = written(rest.join(edges, "point_id"), "edge-points")
+    fits = written(plane_fit(edge, [*KEY, "patch"]), "edge-fits")
+    matched = patches.edge_matches(fits, seeds, edge, EDGE_DISTANCE, EDGE_ANGLE, ("patch",))
+    to = F.when(F.col("merge_reason") == "merged", F.col("nx") * 1000000 + F.col("ny") * 1000 + F.col("nz")).otherwise(name + (F.col("patch") + 1) * 10**13)  # after all seeds of voxels
+    matched = written(matched.select(*KEY, "patch", to.alias("seed"), (F.col("merge_reason") != "merged").alias("new")), "edge-matches")
+    new = fits.join(matched.where("new"), [*KEY, "patch"])
+    s = seeds.select("seed", *KEY, *"abcd").unionByName(new.select("seed", *KEY, *"abcd"))
+    joined = edge.join(matched, [*KEY, "patch"])
+    members = written(found.select("point_id", "seed", "x", "y", "z").unionByName(joined.select("point_id", "seed", "x", "y", "z")), "seed-members")
+    free = p.where("nx IS NOT NULL").join(members, "point_id", "left_anti")
+    grown = patches.grow_seeds(s, free.select("point_id", *KEY, "x", "y", "z", "nx", "ny", "nz"), members.select("seed", "x", "y", "z"), patches.growth_levels(0.1, 30.0, 0.02, 5.0), 5.0)
     every = written(members.select("point_id", "seed").unionByName(grown), "members")
     own = p.join(every, "point_id")
     fits = written(plane_fit(own, ["seed"]).withColumnRenamed("seed", "patch"), "fits")

@@ -98,3 +98,17 @@ def test_ransac_query_finds_every_plane(spark, monkeypatch):
     monkeypatch.setattr(plot_queries, "pts", lambda spark, sf: points)
     found = plot_queries.sequential_ransac(spark, "").collect()
     assert sorted((r["n"], round(-r["d"])) for r in found) == [(130, 10 * k) for k in range(6)] and sorted(r["plane_id"] for r in found) == list(range(6))
+
+
+def test_pipeline_keeps_what_the_first_plane_leaves(spark, monkeypatch):
+    """Two parallel planes in one voxel, whose mean plane is near no point, and too few points for a seed of one of them, with stray ones, in the next voxel."""
+    from stratoplane.plans import plot_queries
+
+    draw = np.random.default_rng(6)
+    flat = lambda n, x, z: np.column_stack([draw.uniform(x, x + 1.9, n), draw.uniform(0, 1.9, n), np.full(n, z)])
+    xyz = np.vstack([[[0, 0, 0.4]], flat(69, 0, 0.4), flat(60, 0, 1.6), flat(28, 2.05, 0.4), [[0, 0, 0], [2.2, 0.3, 1.9], [3.1, 1.1, 1.0], [2.6, 1.7, 1.3], [3.5, 0.2, 1.2], [2.9, 0.8, 0.9]]])
+    points = spark.createDataFrame([(int(i), *map(float, p), 0.0, 0.0, 1.0) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double, nx double, ny double, nz double").coalesce(1)
+    monkeypatch.setattr(plot_queries, "with_normals", lambda spark, sf: points)
+    got = {r["point_id"]: (r["seed"], r["disc"]) for r in plot_queries.voxel_patch_pipeline(spark, "").collect()}
+    assert set(got) == set(range(158)) and {got[i] for i in (*range(70), *range(130, 158))} == {(0, 0)}
+    assert len({got[i] for i in range(70, 130)}) == 1 and got[70][0] == got[70][1] == 10**13
