@@ -1,18 +1,26 @@
-"""A Bloom filter of ids with a fixed size, built without gathering the ids anywhere.
+"""A Bloom filter of ids, built without gathering the ids anywhere.
 
-Executors build its pages with bitmap aggregates; the driver sees the finished pages, 2**bits / 8 bytes at most whatever the
-number of ids, and broadcasts them. A fuller filter lets more rows through and never loses one, so what uses it must not
-rely on it for more than speed.
+Executors build its pages with bitmap aggregates; the driver sees the finished pages and broadcasts them: sixteen bits an id, and
+2**MOST bits (32 MB) at most, which the caller must keep to (``fits``). It never loses an id; it lets a few others through.
 """
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, HASHES, _PAGE = 26, 3, 32768
+LEAST, MOST, HASHES, _PAGE = 18, 28, 4, 32768
 
 
-def positions(ident: str, bits: int = BITS) -> Column:
+def fits(count: int) -> bool:
+    """Whether a filter of so many ids lets no more than a few in a hundred others through."""
+    return count <= (1 << MOST) // 8
+
+
+def bits_for(count: int) -> int:
+    return min(MOST, max(LEAST, (16 * max(1, count) - 1).bit_length()))
+
+
+def positions(ident: str, bits: int) -> Column:
     """The bits of an id, as an array column."""
     return F.array(*(F.pmod(F.xxhash64(F.col(ident), F.lit(101 + k)), F.lit(1 << bits)) for k in range(HASHES)))
 
@@ -20,7 +28,7 @@ def positions(ident: str, bits: int = BITS) -> Column:
 class IdFilter:
     """Built from a DataFrame with the id column; ask with the positions of ids."""
 
-    def __init__(self, ids: DataFrame, ident: str, bits: int = BITS):
+    def __init__(self, ids: DataFrame, ident: str, bits: int):
         at = ids.select(ident).distinct().select(F.explode(positions(ident, bits)).alias("p"))
         pages = at.groupBy(F.floor(F.col("p") / _PAGE).alias("page")).agg(F.expr(f"bitmap_construct_agg(p % {_PAGE})").alias("bitmap"))
         whole = np.zeros((1 << bits) // _PAGE * (_PAGE // 8), np.uint8)

@@ -5,14 +5,18 @@ length. A first set of machines, one family against the others, tells the langua
 each two languages votes, and the sum of margins settles ties. Families are a fixed table; a language that is not in it is a
 family of its own.
 
-The machines are fitted on the driver on a bounded sample: at most SAMPLE rows, the same number of each language, chosen by a
-hash. Everything else is a row-wise map. Null texts and texts without a letter are ``und`` with score 0, and so is every text
-if there is nothing to learn from. Rows without a label or an id are predicted but not learned from. Long texts are counted
-in segments. Columns named as the results are replaced; an empty table gives an empty result.
+The machines are fitted on the driver on a bounded sample: about SAMPLE rows, the same number of each language, chosen by a
+hash of the id; where many rows share an id, the first 2 * SAMPLE by hashes of id and vector. Only the counts of n-grams
+that a text has travel to the driver. Everything else is a row-wise map. Null texts and texts without a letter are ``und`` with
+score 0, and so is every text if there is nothing to learn from. Rows without a label or an id are predicted but not learned
+from, and count as held in. Repeated rows are predicted alike, and learned from as often as the sample has them; ties of votes go
+to the first language in order. Long texts are counted in segments. Columns named as the results are replaced; an empty table
+gives an empty result.
 """
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..tables import table
 from . import bytetext
+from .arrowrows import bounded, kept
 
 #: Hashed n-grams; rows that the machines are fitted on in all.
 DIMS, SAMPLE = 4096, 4000
@@ -117,7 +122,7 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, learn: Column, sample: int = SAMPLE) -> Model:
     """Fit on at most about ``sample`` rows that meet learn, the same number of each language."""
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample).collect()}
     each = max(1, sample // max(1, len(counts)))
     hashed = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20))
@@ -126,16 +131,26 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, learn: Colum
         chosen = chosen | ((F.col(lang_col) == lang) & (hashed < int(min(1.0, each / n) * (1 << 20)) + 1))
 
     def vectors(batches):
+        kept(None)
         for b in batches:
-            rows = [(v, ngram_vector(np.frombuffer(t.as_buffer(), np.uint8)).tobytes()) for v, t in zip(b.column(0).to_pylist(), b.column(1)) if has_letter(t.as_buffer().to_pybytes())]
+            rows = []
+            for lang, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if has_letter(text.as_buffer().to_pybytes()):
+                    x = ngram_vector(np.frombuffer(text.as_buffer(), np.uint8))
+                    at = np.flatnonzero(x)
+                    packed = at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+                    rows.append((lang, key, zlib.crc32(packed), packed))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["lang", "key", "mark", "x"])
 
-    rows = usable.where(chosen).select(F.col(lang_col).cast("string"), text_col).mapInArrow(vectors, "lang string, x binary").limit(2 * sample).collect()
+    found = bounded(usable).where(chosen).select(F.col(lang_col).cast("string"), F.xxhash64(F.col(id_col), F.lit(6)), text_col).mapInArrow(vectors, "lang string, key long, mark long, x binary")
+    rows = found.orderBy("key", "mark").limit(2 * sample).select("lang", "x").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    x, labels = np.empty((len(rows), DIMS), np.float32), [r[0] for r in rows]
+    x, labels = np.zeros((len(rows), DIMS), np.float32), [r[0] for r in rows]
     for k in range(len(rows)):
-        x[k], rows[k] = np.frombuffer(bytes(rows[k][1]), np.float32), None
+        packed, rows[k] = bytes(rows[k][1]), None
+        n = len(packed) // 6
+        x[k, np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
     return Model(x, labels)
 
 
@@ -146,6 +161,7 @@ def identified(docs: DataFrame, text_col: str, model: Model, names: tuple[str, s
     schema = T.StructType([*base.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
+        kept(None)
         for b in batches:
             found = []
             for text in b.column(place):
@@ -153,12 +169,12 @@ def identified(docs: DataFrame, text_col: str, model: Model, names: tuple[str, s
                 found.append((UNKNOWN, 0.0) if raw is None or not has_letter(raw.to_pybytes()) else model.predict(ngram_vector(np.frombuffer(raw, np.uint8))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return bounded(base).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
     """Rows that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ documents hold, the smallest document id keeps its lines and all other documents
    it. ``keep_lines`` applies bitmaps to documents.
 
 Null and empty texts are one empty line, which is too short to be dropped. A document's own repeats stay or go together. Rows
-of one id count as one document; rows without an id keep all lines. Empty tables give empty results.
+of one id count as one document; rows without an id keep all lines. Long texts are split whole, their lines travel as hashes.
+Extra columns stay as they are, and so do columns with the names of results if others are given for these. Empty tables give
+empty results.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,17 +64,17 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ends.select("doc", "n_lines", F.filter(between, lambda r: r["len"] > 0).alias("keep"))
 
 
-def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with n_lines, n_dropped and kept (the text of the kept lines)."""
+def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
+    """docs with the numbers of lines and of dropped lines and the text of the kept lines, under these names."""
     found = docs.join(bitmaps.select(F.col("doc").alias("_doc"), F.col("keep").alias("_keep")), F.col(id_col) == F.col("_doc"), "left")
     lines = _lines(F.col(text_col))
     stay = F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["start"] + 1, r["len"])))
     kept = F.aggregate("_keep", F.lit(0), lambda n, r: n + r["len"])
     listed = F.col("_keep").isNotNull()
     return (
-        found.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.when(listed, F.col("n_lines") - kept).otherwise(0).cast("long"))
-        .withColumn("kept", F.when(listed, F.array_join(stay, "\n")).otherwise(F.coalesce(text_col, F.lit(""))))
+        found.withColumn(names[0], F.size(lines).cast("long"))
+        .withColumn(names[1], F.when(listed, F.col(names[0]) - kept).otherwise(0).cast("long"))
+        .withColumn(names[2], F.when(listed, F.array_join(stay, "\n")).otherwise(F.coalesce(text_col, F.lit(""))))
         .drop("_doc", "_keep")
     )
 

@@ -8,26 +8,29 @@ are undecided; then those landing units of all blocks meet in the next, smaller
 rounding that comes nearest to the source's target, mended by a few exchanges.
 
 Blocks have a bounded number of documents whatever a source's share of the rows is: a hot source just has more blocks,
-and no source or block is gathered anywhere. Moves are drawn from a hash of source, block and round, so reruns agree.
+and no source or block is gathered anywhere. Sources are ranked and given their targets as a table; the driver sees sums over
+sources only. Moves are drawn from a hash of source, block and round, so reruns agree.
 
-Null or empty texts have size 0: they are taken 0 words (copies as their probability says, which no total feels). Repeated
-rows are separate units. A source's null name is a source of its own, sorted last. Empty tables give empty results.
+Rows of equal id, source and size are told apart by a number, so neither repeated rows nor rows without an id gather in a block;
+as units they are interchangeable. Null or empty texts have size 0: they are taken 0 words (copies as their probability says,
+which no total feels). Long texts are counted in segments. A source's null name is a source of its own, sorted last. Extra
+columns are ignored. Empty tables give empty results.
 """
 
 import random
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.orientation_clusters import ranked
 from ..shared_store import written
 from ..tables import table
 from . import bytetext
+from .arrowrows import bounded, kept
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents per block of the flight phase.
@@ -41,6 +44,7 @@ def with_size(df: DataFrame, id_col: str, text_col: str, group_col: str) -> Data
     schema = f"`{id_col}` {kinds[id_col]}, `{group_col}` {kinds[group_col]}, size long"
 
     def run(batches):
+        kept(None)
         for b in batches:
             data, offsets = bytetext.column_bytes(b.column(2))
             sizes = np.zeros(b.num_rows, np.int64)
@@ -49,25 +53,27 @@ def with_size(df: DataFrame, id_col: str, text_col: str, group_col: str) -> Data
                 sizes[lo:hi] = np.diff(first)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes)], names=[id_col, group_col, "size"])
 
-    return df.select(id_col, group_col, text_col).mapInArrow(run, schema)
+    return bounded(df).select(id_col, group_col, text_col).mapInArrow(run, schema)
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
-    """Targets by weight, none above cap times its size; the excess goes to the others by weight until none is above."""
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(total)
-    while open_:
-        scale = left / sum(weights[i] for i in open_)
-        above = {i for i in open_ if scale * weights[i] > cap * sizes[i]}
-        if not above:
-            for i in open_:
-                targets[i] = scale * weights[i]
+def water_fill(sources: DataFrame, total: float, cap: float) -> DataFrame:
+    """A written table of (words, weight) rows with target: shares of total by weight, none above cap times its words; the excess
+    goes to the others by weight until none is above. Each step is one sum over the sources."""
+    left, scale, fixed = float(total), None, F.lit(False)
+    while True:
+        w = sources.where(~fixed).agg(F.sum("weight")).first()[0]
+        if not w:
             break
-        for i in above:
-            targets[i] = cap * sizes[i]
-        left -= sum(targets[i] for i in above)
-        open_ -= above
-    return targets
+        scale = left / w
+        above = ~fixed & (F.lit(scale) * F.col("weight") > F.lit(cap) * F.col("words"))
+        more, words = sources.where(above).agg(F.count(F.lit(1)), F.sum("words")).first()
+        if not more:
+            break
+        left -= cap * words
+        # Once above, a source stays above, as the scale only grows: so the last scale tells all that are fixed.
+        fixed = F.lit(scale) * F.col("weight") > F.lit(cap) * F.col("words")
+    share = F.lit(scale or 0.0) * F.col("weight")
+    return sources.withColumn("target", F.when(share > F.lit(cap) * F.col("words"), F.lit(cap) * F.col("words")).otherwise(share))
 
 
 def flight(prob: np.ndarray, sizes: np.ndarray, draw: random.Random) -> np.ndarray:
@@ -128,57 +134,58 @@ def land(before: np.ndarray, prob: np.ndarray, sizes: np.ndarray, swaps: int = 4
     return p
 
 
-def source_targets(sized: DataFrame, group_col: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[tuple]:
-    """(group, words, documents, target) by source; the driver sees these totals only, one small row per source."""
-    totals = sized.groupBy(group_col).agg(F.sum("size"), F.count(F.lit(1))).collect()
-    totals.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else ""))
-    sizes = [int(r[1]) for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), cap)
-    return [(r[0], int(r[1]), int(r[2]), t) for r, t in zip(totals, targets)]
+def source_targets(sized: DataFrame, group_col: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """group, words, documents, weight and target of every source; weights repeat over the names by code point, null last."""
+    totals = sized.groupBy(group_col).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("documents"))
+    # Named _source, as ranked adds columns of its own.
+    placed = ranked(totals.withColumnRenamed(group_col, "_source"), [F.asc_nulls_last("_source")], "_source", "_place")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("_place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    sources = written(placed.select("_source", "words", "documents", weight.alias("weight")), "sources")
+    return water_fill(sources, share * (sources.agg(F.sum("words")).first()[0] or 0), cap)
 
 
-def _open_units(pdf: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
+def _open_units(rows: pa.Table, seed: int, last: bool) -> pa.Table:
     """One block's flight (and landing in the last round)."""
-    pdf = pdf.sort_values(["_id", "size"], kind="stable", ignore_index=True)
-    sizes = pdf["size"].to_numpy()
-    key = f"{seed}/{pdf['_source'].iat[0]!r}/{pdf['_block'].iat[0]}/{len(pdf)}"
-    before = pdf["_prob"].to_numpy()
+    rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("_id", "size", "_copy")])
+    sizes = rows.column("size").to_numpy()
+    key = f"{seed}/{rows.column('_source')[0].as_py()!r}/{rows.column('_block')[0].as_py()}/{len(rows)}"
+    before = rows.column("_prob").to_numpy()
     p = flight(before, sizes, random.Random(zlib.crc32(key.encode())))
-    pdf["_prob"] = p = land(before, p, sizes) if last else p
-    pdf["_open"] = (p > 0) & (p < 1)
-    return pdf.drop(columns="_block")
+    p = land(before, p, sizes) if last else p
+    rows = rows.drop_columns(["_block"]).set_column(rows.column_names.index("_prob"), "_prob", pa.array(p))
+    return rows.append_column("_open", pc.and_(pc.greater(rows.column("_prob"), 0.0), pc.less(rows.column("_prob"), 1.0)))
+
+
+def _numbered(counted: DataFrame, count: str, name: str) -> DataFrame:
+    """As many rows as count says, numbered from 0; made in two steps, so that no large array is needed for a large count."""
+    piece, n = 4096, F.col(count)
+    some = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / piece))))
+    one = F.sequence(F.col("_piece") * piece, F.least(n, (F.col("_piece") + 1) * piece) - 1)
+    return some.withColumn(name, F.explode(one)).drop("_piece", count)
 
 
 def mixed(sized: DataFrame, id_col: str, group_col: str, block_rows: int = BLOCK_ROWS, seed: int = 7, **how) -> DataFrame:
     """id, group, size, source_size, target and copies for every row of (id, group, size)."""
-    spark, sources = sized.sparkSession, source_targets(sized, group_col, **how)
-    def beside(df: DataFrame, ddl: str, values: list[tuple]) -> DataFrame:
-        """df with values, a tuple for each source, joined on its source. Spark knows the small side's size, as it is local
-        data, and broadcasts it only below its threshold."""
-        schema = T.StructType([T.StructField("_g", sized.schema[group_col].dataType), *T.StructType.fromDDL(ddl)])
-        columns = zip(*((s[0], *v) for s, v in zip(sources, values))) if sources else [[]] * len(schema)
-        small = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema)))
-        return df.join(small, F.col("_source").eqNullSafe(F.col("_g"))).drop("_g")
-
-    units = sized.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_source"), "size")
-    units = beside(units, "source_size long, target double", [(s[1], s[3]) for s in sources])
+    targets = written(source_targets(sized, group_col, **how).select(F.col("_source").alias("_g"), F.col("words").alias("source_size"), "target", F.col("documents").alias("_n")), "targets")
+    units = sized.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_source"), "size").groupBy("_id", "_source", "size").agg(F.count(F.lit(1)).alias("_rows"))
+    units = _numbered(units, "_rows", "_copy").join(targets, F.col("_source").eqNullSafe(F.col("_g"))).drop("_g")
     ratio = F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 0D END")
     rest = units.withColumn("_whole", F.floor(ratio).cast("long")).withColumn("_prob", ratio - F.floor(ratio))
-    schema = ", ".join(f"`{c}` {k}" for c, k in rest.dtypes) + ", _open boolean"
-    counts, parts, last = [s[2] for s in sources], [], False
+    most, parts, last = targets.agg(F.max("_n")).first()[0] or 0, [], False
+
     def settle(last: bool):
-        return lambda pdf: _open_units(pdf, seed, last)
+        return lambda rows: _open_units(rows, seed, last)
 
     while not last:
-        blocks = [-(-n // block_rows) for n in counts]
-        last = max(blocks, default=1) <= 1
-        placed = beside(rest, "_n long", [(n,) for n in blocks])
-        placed = placed.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(seed + len(parts))), F.col("_n"))).drop("_n")
-        settled = placed.groupBy("_source", "_block").applyInPandas(settle(last), schema)
+        last = most <= block_rows
+        blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")
+        schema = ", ".join(f"`{c}` {k}" for c, k in rest.dtypes) + ", _open boolean"
+        placed = rest.withColumn("_block", F.pmod(F.xxhash64("_id", "size", "_copy", F.lit(seed + len(parts))), blocks))
+        settled = placed.groupBy("_source", "_block").applyInArrow(settle(last), schema)
         if not last:
             settled = written(settled, "cube")
-            rest = settled.where("_open").drop("_open")
-            counts = [2 * n for n in blocks]  # a block leaves two open units at most
+            # A block leaves two open units at most.
+            rest, most = settled.where("_open").drop("_open").withColumn("_n", 2 * blocks), 2 * -(-most // block_rows)
         parts.append(settled.where("NOT _open"))
     result = parts[0]
     for df in parts[1:]:

@@ -8,30 +8,32 @@ CAPACITY tokens only where they are longer. Pieces are dealt by a hash to groups
   that increases the sum of squared fills, the emptiest bins giving first, until they are empty or no exchange helps. The
   sum is a bounded integer that only grows, so the search ends.
 
-A group is bounded whatever the input's size, and every group holds the same mix of lengths, so few bins are lost to grouping. Words
-are tokenised once and remembered by each worker in a table of bounded size: the tokenizer never joins across white space.
+A group is bounded whatever the input's size, and every group holds the same mix of lengths, so few bins are lost to grouping. Pieces
+are dealt by their place in the written table of pieces, so null or repeated ids do not gather in a group. Words are
+tokenised once and remembered by each worker in tables of bounded bytes: the tokenizer never joins across white space.
 
-Null and empty texts are one end id. Repeated rows are packed as often as they come. Empty tables give empty results.
+Null and empty texts are one end id. Repeated rows are packed as often as they come, and so are rows without an id. Texts of any
+length are cut into pieces one row at a time. Extra columns of the documents are ignored, those of pieces stay; columns named
+sequence_id and offset are replaced. Empty tables give empty results.
 """
 
 import os
 import re
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared_store import written
 from ..tables import table
+from .arrowrows import bounded, kept
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
-#: Words, and parts of words, remembered by a worker before its table starts anew.
-REMEMBERED = 400_000
+#: Bytes of words, and as many of parts of words, that a worker remembers before its table starts anew; what an entry takes beside its text.
+REMEMBERED, _ENTRY = 24 << 20, 160
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +66,7 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.word_bytes = self.part_bytes = 0
         rules = str(self.tokenizer.pre_tokenizer)
         self.plain = str(self.tokenizer.normalizer).endswith("Lowercase()])") and self._rules in rules and "ByteLevel(add_prefix_space=False" in rules
         letters = _byte_letters()
@@ -77,8 +80,9 @@ class WordTokens(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(key)])
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if self.word_bytes >= REMEMBERED:
             self.clear()
+            self.word_bytes = 0
         text, parts = word.decode(), self.parts
         if self._odd.search(text) or not self.plain:
             out = self.whole(text)
@@ -87,28 +91,26 @@ class WordTokens(dict):
             for p in self._parts.findall(text.lower()):
                 ids = parts.get(p)
                 if ids is None:
-                    if len(parts) >= REMEMBERED:
+                    if self.part_bytes >= REMEMBERED:
                         parts.clear()
+                        self.part_bytes = 0
                     ids = parts[p] = self.part(p)
+                    self.part_bytes += _ENTRY + len(p) + len(ids)
                 out.append(ids)
             out = b"".join(out)
-        self[word] = out
+        if len(word) <= 256:
+            self[word] = out
+            self.word_bytes += _ENTRY + len(word) + len(out)
         return out
 
 
-@lru_cache(maxsize=2)
-def _words_of(path: str) -> WordTokens:
-    """One table for each tokenizer file and Python worker: tasks that a worker runs in turn share it."""
-    return WordTokens(path)
-
-
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids) for each piece of every row."""
     kind, path = dict(docs.dtypes)[id_col], path or public_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens = _words_of(path)
+        tokens = kept(f"words of {path}", lambda: WordTokens(path))
         for b in batches:
             out = []
 
@@ -133,7 +135,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None =
                 yield batch()
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -212,25 +214,27 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
 
 
 def packed(pieces: DataFrame, id_col: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset; pieces must be a written table (it is counted, then packed)."""
+    """pieces with sequence_id and offset; pieces must be a written table (it is counted, then packed by the rows' places in it)."""
     groups = max(1, -(-pieces.count() // group))
-    kinds = ", ".join(f"`{c}` {k}" for c, k in pieces.dtypes)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kinds = ", ".join(f"`{c}` {k}" for c, k in pieces.select(names).dtypes)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "piece"], kind="stable", ignore_index=True)
-        lengths = pdf["length"].tolist()
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([(id_col, "ascending"), ("piece", "ascending"), ("_row", "ascending")])
+        lengths = rows.column("length").to_pylist()
         bins = improve(best_fit(lengths, capacity), lengths, capacity)
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        base = int(pdf["_group"].iat[0]) << 32
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        base = rows.column("_group")[0].as_py() << 32
         for k, members in enumerate(bins):
             at = 0
             for i in members:
                 sequence[i], offset[i] = base + k, at
                 at += lengths[i]
-        return pdf.drop(columns="_group").assign(sequence_id=sequence, offset=offset)
+        return rows.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, f"{kinds}, sequence_id long, offset long")
+    place = F.xxhash64(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), "_metadata.row_index")
+    dealt = bounded(pieces).select(*names, place.alias("_row")).withColumn("_group", F.pmod("_row", F.lit(groups)))
+    return dealt.groupBy("_group").applyInArrow(pack, f"{kinds}, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,12 @@ def test_improve_empties_a_bin_that_best_fit_leaves():
     assert sorted(map(len, packing.improve(bins, lengths, 10))) != [] and len(packing.improve(bins, lengths, 10)) == 3
 
 
+def test_pieces_without_ids_do_not_gather(spark):
+    pieces = packing.written(spark.range(100_000).selectExpr("CAST(null AS long) AS doc_id", "0 AS piece", "0L AS start", "1 + id % 700 AS length", "0L AS ids_crc32"), "pieces")
+    found = packing.packed(pieces, "doc_id").groupBy(packing.F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(found) == 13 and max(r[1] for r in found) < 9000
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_improve_keeps_all_pieces(seed):
     draw = np.random.default_rng(seed)
@@ -355,7 +361,7 @@ def test_mixture_meets_targets(spark, folder, where):
     for _, text, source in docs:
         size[source] += len(SPLIT.findall(text or ""))
     names = sorted((s for s in size if s is not None)) + [None] * (None in size)
-    targets = dict(zip(names, mixture.water_fill([size[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(size.values()), 2)))
+    targets = dict(zip(names, plain_targets([size[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(size.values()), 2)))
     taken = defaultdict(int)
     for r in first:
         assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(targets[r["source"]])
@@ -364,10 +370,29 @@ def test_mixture_meets_targets(spark, folder, where):
         assert all(abs(taken[s] - targets[s]) <= 0.01 * targets[s] for s in names)
 
 
-def test_water_fill_caps_and_shares():
-    assert mixture.water_fill([10, 10, 1000], [5, 2, 1], 100, 2) == [20, 20, 60]
-    assert sum(mixture.water_fill([100, 300, 50], [5, 2, 1], 675, 2)) == pytest.approx(675)
-    assert mixture.water_fill([], [], 0, 2) == [] and mixture.water_fill([0, 0], [5, 2], 0, 2) == [0, 0]
+def plain_targets(sizes, weights, total, cap):
+    """The level at which weights times level, capped, add up to the total, found by halving."""
+    low, high = 0.0, cap * max(sizes, default=0) / min(weights, default=1) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(cap * s, level * w) for s, w in zip(sizes, weights)) < total else (low, level)
+    return [min(cap * s, high * w) for s, w in zip(sizes, weights)]
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 1000], [100, 300, 50], [0, 0], [], [7], list(range(1, 60))])
+def test_targets_cap_and_share(spark, sizes):
+    rows = [(f"s{k:03d}", n) for k, n in enumerate(sizes)]
+    found = {r["_source"]: r["target"] for r in mixture.source_targets(spark.createDataFrame(rows, "src string, size long"), "src").collect()}
+    want = plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes), 2)
+    assert [found[n] for n, _ in rows] == pytest.approx(want)
+
+
+def test_units_without_or_with_equal_ids_are_dealt_to_blocks(spark):
+    frame = spark.range(60_000).selectExpr("if(id < 40000, null, 7) AS id", "'a' AS src", "10 + id % 3 AS size")
+    found = mixture.mixed(frame, "id", "src", block_rows=500).groupBy().sum("copies").first()[0]
+    assert abs(found - 90_000) <= 300
+    counted = mixture._numbered(spark.createDataFrame([("x", 9000), ("y", 1)], "k string, n long"), "n", "i").groupBy("k").agg({"i": "max", "*": "count"})
+    assert sorted(tuple(r) for r in counted.collect()) in ([("x", 8999, 9000), ("y", 0, 1)], [("x", 9000, 8999), ("y", 1, 0)])
 
 
 def test_flight_keeps_totals_and_probabilities():
@@ -433,9 +458,9 @@ def test_near_copies_on_odd_rows(spark, folder):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=repr) == brute_near(docs)
 
 
-@pytest.mark.parametrize("tile", [256, 8])
-def test_chains_of_edits_and_a_common_passage(spark, monkeypatch, tile):
-    monkeypatch.setattr(near_copies, "TILE", tile)
+@pytest.mark.parametrize("centres", [64, 4])
+def test_chains_of_edits_and_a_common_passage(spark, monkeypatch, centres):
+    monkeypatch.setattr(near_copies, "CENTRES", centres)
     draw = np.random.default_rng(8)
     passage = [f"c{k}" for k in range(60)]
     docs, i = [], 0
@@ -454,6 +479,30 @@ def test_chains_of_edits_and_a_common_passage(spark, monkeypatch, tile):
     assert sorted((tuple(r) for r in found), key=repr) == brute_near(docs)
 
 
+def test_large_groups_of_copies_of_one_text(spark):
+    """Copies that are each near their original, but not all near each other: recall of the stars, with few centres a round."""
+    draw = np.random.default_rng(12)
+    base = [f"b{k}" for k in range(200)]
+    docs = []
+    for i in range(500):
+        words = list(base)
+        for at in draw.integers(0, 200, 5):
+            words[at] = f"e{draw.integers(10**9)}"
+        docs.append((i, " ".join(words)))
+    docs.append((900, " ".join(base)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: c for i, _, c in brute_near(docs)}
+    found = {r[0]: r[2] for r in near_copies.near_classes(frame, "doc_id", "text").collect()}
+    assert sum(found[i] == c for i, c in want.items()) >= 0.99 * len(want)
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    docs = [(1, text("a")), (5, text("a")), (5, text("b")), (5, text("b")), (7, text("b") + " more"), (8, text("c"))]
+    found = near_copies.near_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r[0], r[2]) for r in found) == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 1), (8, 8)]
+
+
 def test_signatures_estimate_similarity():
     draw = np.random.default_rng(4)
     for n in (3, 12, 60, 900):
