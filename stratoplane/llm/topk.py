@@ -2,18 +2,22 @@
 
 Every dimension of a block of vectors is a sorted list. A query reads the lists of its positive components from the top and
 those of its negative components from the bottom, all to the same depth. What has been read is known exactly; what has not
-lies between the list's far end and the frontier, so every vector has a lower and an upper bound of its score. Once the
-k-th largest lower bound exceeds the upper bounds of outsiders they cannot qualify and are left; the depth grows until
-nothing more can be decided, and the scores of those that remain are resolved exactly. Bounds of all queries of a block are
-matrix products: reading to a depth equals clamping a column at the list's frontier.
-
-Queries and vectors are packed to blocks of bounded size by a hash of id and vector, and every pair of a vector block and a
-query block is one row of an equi-join: no side is broadcast or gathered. Each pair of blocks gives k rows a query; the k
-best of these follow by rank, ties to the smaller id.
+lies between the list's far end and the frontier, so every vector has a lower and an upper bound of its score. A query's bar is
+the k-th largest lower bound, or what it brings along from an earlier block; vectors with an upper bound under it are outsiders
+and are left, for this query alone. The depth doubles up to half a list, then the unread rest is halved, until no more than k
+vectors are left that can qualify or the lists are at their end; the scores of those that remain are resolved. Bounds of
+several queries are matrix products over the vectors that any of them still holds: reading to a depth equals clamping a column at
+its list's frontier.
+
+Queries and vectors are packed to blocks of bounded size by a hash of the id, and every pair of a vector block and a query block
+is one row of an equi-join: no side is broadcast or gathered. First each query block meets one vector block; the k-th scores
+found there are the bars that the queries take to all blocks. Each pair of blocks gives k rows a query; the k best of these
+follow by rank, ties to the smaller id. Shuffled are V * Q / QUERIES vectors and Q * V / VECTORS queries.
 
 Components are scaled, floored to integers, and scored in floating point that is exact for the sizes at hand (int64 beyond).
 Vectors that are null or hold null or non-finite components take no part; a shorter vector is filled up with 0. Rows without
-an id take no part. A query's own id is no candidate for it. Empty tables give empty results.
+an id take no part. Rows of one id are one vector: repeats count once, and of several vectors the first in byte order stands.
+A query's own id is no candidate for it. Extra columns are ignored. Empty tables give empty results.
 """
 
 import numpy as np
@@ -23,17 +27,19 @@ from pyspark.sql import functions as F
 
 from ..shared_store import written
 from ..tables import table
+from .arrowrows import bounded, kept
 
 K, SCALE, EVERY = 5, 256.0, 50
-#: Vectors and queries of a block; depths of reading as shares of a list.
-VECTORS, QUERIES, DEPTHS = 4096, 1024, (0.25, 0.5)
+#: Vectors and queries of a block, queries whose bounds are held at once, the first depth as a share of a list.
+VECTORS, QUERIES, AT_ONCE, FIRST_DEPTH = 8192, 4096, 64, 1 / 8
 _EXACT = float(1 << 53)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """id, v (float64 bytes of the floored components) of the rows that take part."""
+    """id, v (bytes of the floored components: 4 each where that is enough, else 8), dims; one row an id."""
 
     def run(batches):
+        kept(None)
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for key, v in zip(ids, b.column(1)):
@@ -41,94 +47,120 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float =
                     continue
                 x = np.floor(np.asarray(v.values, np.float64) * scale)
                 if np.isfinite(x).all():
-                    out.append((key, x.astype("<f8").tobytes(), len(x)))
+                    small = np.abs(x).max(initial=0) < 1 << 31
+                    out.append((key, x.astype("<i4" if small else "<f8").tobytes(), len(x)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32()))], names=["id", "v", "dims"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, v binary, dims int")
+    rows = bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, v binary, dims int")
+    return rows.groupBy("id").agg(F.min(F.struct("v", "dims")).alias("x")).select("id", "x.v", "x.dims")
 
 
-def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """block, ids, vectors: rows packed by a hash of the id and the vector."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+def _blocks(rows: DataFrame, blocks: int, *columns: str) -> DataFrame:
+    """block, rows: ids and vectors packed by a hash of the id."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v", "dims", *columns)).alias("rows"))
 
 
-def _matrix(rows: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, vs = rows.values.field("id").to_numpy(zero_copy_only=False), rows.values.field("v")
+def _matrix(rows: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids in order, their vectors, and where the rows were."""
+    ids, vs, widths = rows.values.field("id").to_numpy(zero_copy_only=False), rows.values.field("v"), rows.values.field("dims").to_pylist()
     out = np.zeros((len(ids), dims))
-    for k, v in enumerate(vs):
-        x = np.frombuffer(v.as_buffer(), "<f8")
-        out[k, : len(x)] = x
+    for k, (v, n) in enumerate(zip(vs, widths)):
+        raw = v.as_buffer()
+        if n:
+            out[k, :n] = np.frombuffer(raw, "<i4" if raw.size == 4 * n else "<f8")
     order = np.argsort(ids, kind="stable")
-    return ids[order], out[order]
+    return ids[order], out[order], order
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int = K, depths=DEPTHS):
-    """(query, id, score) of the k best of x for every query, by bounds from sorted lists."""
-    n = len(ids)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    alive = np.ones(n, bool)
-    if n > 4 * k:
-        lists = np.sort(x, axis=0)
-        own = q_ids[:, None] == ids[None, :]
-        for depth in depths:
-            read = max(1, int(depth * n))
-            top, bottom, low, high = lists[n - read], lists[read - 1], lists[0], lists[-1]
-            at = np.flatnonzero(alive)
-            y, skip = x[at], own[:, at]
-            lower = up @ np.where(y >= top, y, low).T + down @ np.where(y <= bottom, y, high).T
-            upper = up @ np.maximum(y, top).T + down @ np.minimum(y, bottom).T
-            lower[skip], upper[skip] = -np.inf, -np.inf
-            # Equal bounds stay: ties are settled by id at the end.
-            can = upper >= _kth(lower, min(k, len(at)))[:, None]
-            alive[at[~can.any(axis=0)]] = False
-    at = np.flatnonzero(alive)
-    y, kept = x[at], ids[at]
-    if n and np.abs(q).max(initial=0) * np.abs(y).max(initial=0) * q.shape[1] >= _EXACT:
-        scores = q.astype(np.int64) @ y.astype(np.int64).T
-        own = q_ids[:, None] == kept[None, :]
-        for i in range(len(q_ids)):
-            free = np.flatnonzero(~own[i])
-            order = free[np.argsort(-scores[i, free], kind="stable")[:k]]
-            yield from ((int(q_ids[i]), int(kept[j]), int(scores[i, j])) for j in order)
-        return
-    scores = up @ y.T + down @ y.T
-    scores[q_ids[:, None] == kept[None, :]] = -np.inf
-    k = min(k, len(kept))
-    bar = _kth(scores, k) if k else np.zeros(0)
-    for i in range(len(q_ids) if k else 0):
-        near = np.flatnonzero(scores[i] >= bar[i])
-        for j in near[np.argsort(-scores[i, near], kind="stable")][:k]:
-            if scores[i, j] > -np.inf:
-                yield int(q_ids[i]), int(kept[j]), int(scores[i, j])
-
-
-def top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = K, scale: float = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows for each row whose id meets is_query (a condition on ``id``)."""
-    rows = written(integer_vectors(df, id_col, vector_col, scale), "vectors")
-    size = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max("dims")).first()
-    n_vectors, n_queries, dims = size[0], size[1], size[2] or 0
-    query_blocks = max(1, -(-n_queries // QUERIES))
-    vector_blocks = max(1, -(-n_vectors // VECTORS))
-    vectors = _blocks(rows, vector_blocks).select("rows", F.col("block").cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = _blocks(rows.where(is_query), query_blocks).select(F.col("rows").alias("asked"), F.col("block").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("vb"))
-    pairs = vectors.join(asked, ["vb", "qb"]).select("rows", "asked")
+def depths(n: int, first: float = FIRST_DEPTH) -> list[int]:
+    """Entries of a list of n that have been read after each step: doubling to a half, then halving what is unread."""
+    out, share = [], first
+    while share < 0.5:
+        out.append(share)
+        share *= 2
+    rest = 0.5
+    while rest * n >= 1 and rest > 1 / 32:
+        out.append(1 - rest)
+        rest /= 2
+    return sorted({max(1, int(s * n)) for s in out} | {n}) if n else []
+
+
+def narrowed(q: np.ndarray, bars: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, lists: np.ndarray | None = None):
+    """For each depth: entries read, and for each query (row) the vectors (columns) that can still be among its k best."""
+    lists = np.sort(x, axis=0) if lists is None else lists
+    up, down, bars, alive = np.maximum(q, 0), np.minimum(q, 0), bars.copy(), ~own
+    for read in depths(len(x)):
+        top, bottom, low, high = lists[len(x) - read], lists[read - 1], lists[0], lists[-1]
+        at = np.flatnonzero(alive.any(axis=0))
+        y, some = x[at], alive[:, at]
+        lower = up @ np.where(y >= top, y, low).T + down @ np.where(y <= bottom, y, high).T
+        upper = up @ np.maximum(y, top).T + down @ np.minimum(y, bottom).T
+        lower[~some] = -np.inf
+        if len(at) >= k:
+            bars = np.maximum(bars, _kth(lower, k))
+        # Equal bounds stay: ties are settled by id at the end.
+        alive[:, at] = some & (upper >= bars[:, None])
+        yield read, alive
+        if (alive.sum(axis=1) <= k).all():
+            return
+
+
+def block_top(q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int = K):
+    """(query, id, score) of those of the k best of x for every query that reach its bar."""
+    exact = not len(x) or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < _EXACT
+    lists = np.sort(x, axis=0)
+    for lo in range(0, len(q), AT_ONCE):
+        part, part_ids = q[lo : lo + AT_ONCE], q_ids[lo : lo + AT_ONCE]
+        alive = part_ids[:, None] != ids[None, :]
+        if exact:
+            for _, alive in narrowed(part, bars[lo : lo + AT_ONCE], x, ~alive, k, lists):  # noqa: B007
+                pass
+        for i in range(len(part)):
+            at = np.flatnonzero(alive[i])
+            scores = x[at] @ part[i] if exact else x[at].astype(np.int64) @ part[i].astype(np.int64)
+            best = np.argsort(-scores, kind="stable")[:k]
+            for j in best[scores[best] >= bars[lo + i]]:
+                yield int(part_ids[i]), int(ids[at[j]]), int(scores[j])
+
+
+def _met(pairs: DataFrame, k: int, dims: int) -> DataFrame:
+    """query_id, vec_id, score of the k best of each pair of blocks (rows, asked)."""
 
     def run(batches):
         for b in batches:
             for xs, qs in zip(b.column(0), b.column(1)):
-                ids, x = _matrix(xs, dims)
-                q_ids, q = _matrix(qs, dims)
-                found = list(block_top(q_ids, q, ids, x, k))
+                ids, x, _ = _matrix(xs, dims)
+                q_ids, q, order = _matrix(qs, dims)
+                bars = qs.values.field("bar").to_numpy(zero_copy_only=False)[order]
+                found = list(block_top(q_ids, q, bars, ids, x, k))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = K, scale: float = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows for each row whose id meets is_query (a condition on ``id``)."""
+    rows = written(integer_vectors(df, id_col, vector_col, scale), "vectors")
+    n_vectors, n_queries, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max("dims"), F.lit(0))).first()
+    query_blocks, vector_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-n_vectors // VECTORS))
+    blocks = written(_blocks(rows, vector_blocks).select("rows", F.col("block").alias("vb")), "vector-blocks")
+    none = F.lit(float("-inf"))
+    queries = rows.where(is_query)
+    # Thresholds: every query block meets one vector block.
+    first = _blocks(queries.withColumn("bar", none), query_blocks, "bar").select(F.col("rows").alias("asked"), F.pmod("block", F.lit(vector_blocks)).alias("vb"))
+    found = _met(blocks.join(first, "vb").select("rows", "asked"), k, dims)
+    bars = written(found.groupBy(F.col("query_id").alias("id")).agg(F.min("score").cast("double").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n"), "bars")
+    asked = _blocks(queries.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", none)), query_blocks, "bar")
+    asked = asked.select(F.col("rows").alias("asked"), F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("vb"))
+    every = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    best = _met(every.join(asked, ["vb", "qb"]).select("rows", "asked"), k, dims)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

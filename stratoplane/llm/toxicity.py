@@ -4,14 +4,22 @@
    voters: "the stem comes at least once" or "at least so often in a thousand words". Pattern voters look at the
    share of capitals, of marks, of digits in words, of repeated words, and at all stems together. A voter says toxic, clean or
    nothing.
-2. Label model. Expectation-maximisation estimates each voter's rates of saying toxic in toxic and in clean texts, and the
-   correlations of the voters given the label; voters that say the same thing (a word and its beginnings) share one
-   vote. The result is a posterior label for each text.
+2. Label model. It sees votes only, of labelled and unlabelled rows alike. A voter that says something is right with an accuracy
+   better than chance; saying nothing tells nothing, as most voters know the words of one language only.
+   Expectation-maximisation, started from the votes' majority, estimates how often each voter says toxic or clean in texts of either
+   class, and so its accuracy, and the share of toxic texts; signed correlations
+   of the voters given the class, where they exceed chance, say how much of a vote each has (a word and its beginnings say
+   the same and share one; voters that avoid each other count for more). The result is a posterior label for each text.
 3. Classifier. Logistic regression on the posterior labels, over counts and rates of the stems and the patterns.
 
-Ids are integers. Fitting takes a bounded sample of labelled rows, about SAMPLE of either label, chosen by a hash; the score's prior is that of
-all labelled rows. Scoring is a row-wise map over whole texts. Null and empty texts get the score of a text without any
-stem. Without labelled rows every score is 0. Columns named as the results are replaced; an empty table gives an empty result.
+Gold labels choose the voters, set their bars, and give the share of toxic rows that scores are for; they are neither a
+vote nor a start of the label model, nor what the classifier is trained on.
+
+Ids are integers. Fitting takes a bounded sample, chosen by hashes of the id: about SAMPLE labelled rows of either label and
+UNLABELLED other rows; where many rows share an id, the first 4 * SAMPLE and 2 * UNLABELLED by hashes of id and text. Scoring is a
+row-wise map over whole texts, long ones included. Null and empty texts get the score of a text without any stem; rows without an id
+are scored, count as held in, and are not learned from. Repeated rows are scored alike. Without labelled rows every score is 0.
+Columns named as the results are replaced; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -22,10 +30,11 @@ from pyspark.sql import types as T
 
 from ..tables import table
 from . import bytetext
+from .arrowrows import bounded, kept
 
 U64 = np.uint64
-#: Labelled rows of either label that are learned from; stems kept; beginnings of words in bytes.
-SAMPLE, STEMS, BEGINNINGS = 1200, 256, range(4, 10)
+#: Labelled rows of either label and other rows that are learned from; stems kept; beginnings of words in bytes.
+SAMPLE, UNLABELLED, STEMS, BEGINNINGS = 1200, 1200, 256, range(4, 10)
 THRESHOLD = 0.7
 #: Occurrences in a thousand words from which a lexicon voter votes (0: at least one).
 RATES = (0.0, 2.0, 5.0, 10.0)
@@ -112,40 +121,44 @@ def choose_stems(texts: list[bytes], toxic: np.ndarray, limit: int = STEMS) -> t
     return stems[top][order], np.array(RATES)[rate[top][order]]
 
 
-def votes_of(counts: np.ndarray, words: np.ndarray, patterns: np.ndarray, rates: np.ndarray, bars: np.ndarray) -> np.ndarray:
-    """-1 (clean), 0 (nothing) or 1 (toxic) of each voter: a voter for each stem and pattern, and two over all stems."""
-    per = 1000.0 * counts / np.maximum(words, 1)[:, None]
-    lexicon = ((counts > 0) & (per >= rates)).astype(np.int8)
-    pattern = (patterns > bars).astype(np.int8)
-    some = lexicon.any(axis=1)
-    return np.hstack([lexicon, pattern, np.where(some, 1, -1)[:, None], np.where(lexicon.sum(axis=1) >= 2, 1, 0)[:, None]]).astype(np.int8)
+def lexicon_of(counts: np.ndarray, words: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Whether each stem comes as often as its voter asks."""
+    return (counts > 0) & (1000.0 * counts / np.maximum(words, 1)[:, None] >= rates)
+
 
+def votes_of(lexicon: np.ndarray, patterns: np.ndarray, bars: np.ndarray, many: int) -> np.ndarray:
+    """-1 (clean), 0 (nothing) or 1 (toxic) of each voter: a voter for each stem, which speaks where two more stems stand beside its own,
+    one for each pattern, and two over all stems, one that says clean where there is none, one that says toxic from ``many`` on,
+    else clean."""
+    some = lexicon.sum(axis=1)[:, None]
+    return np.hstack([lexicon & (some >= 3), patterns > bars, np.where(some > 0, 0, -1), np.where(some >= many, 1, -1)]).astype(np.int8)
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior probability of toxic for each row, and each voter's share of a vote.
 
-    Rates of each vote given the label and the prior by expectation-maximisation, started from the development labels, which
-    take part as one more voter with rates of its own. Shares follow from the voters' correlations given the label."""
-    all_votes = np.hstack([votes, np.where(gold == 1, 1, -1)[:, None]]).astype(np.int8)
-    n, m = all_votes.shape
-    kinds = np.stack([all_votes == v for v in (-1, 0, 1)]).astype(float)
-    post, share = np.where(gold == 1, 0.95, 0.05), np.ones(m)
+def label_model(votes: np.ndarray, over_all: int = 0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior probability of toxic for each row, each voter's accuracy (how often it is right when it says something) and its
+    share of a vote; from the votes alone. The last ``over_all`` voters sum up the others: their shares are their own."""
+    n, m = votes.shape
+    yes, no = (votes == 1).astype(float), (votes == -1).astype(float)
+    post, share = np.where(votes.sum(axis=1) > 0, 0.9, 0.1), np.ones(m)
     for step in range(rounds):
         mass = np.stack([1 - post, post])
-        rate = np.einsum("ly,kym->lkm", mass, kinds.transpose(0, 1, 2)) + 0.5
-        rate /= rate.sum(axis=1, keepdims=True)
-        prior = np.clip(mass.mean(axis=1), 1e-3, 1 - 1e-3)
-        if step in (4, 12):
-            x = (all_votes == 1).astype(float)
-            rest = x - (mass.T @ rate[:, 2, :])
+        says_yes, says_no = ((mass @ v + 1) / (mass.sum(axis=1, keepdims=True) + 2) for v in (yes, no))
+        # No voter is worse than chance: saying toxic never speaks for clean, nor the other way round.
+        for_toxic = np.maximum(0, np.log(says_yes[1]) - np.log(says_yes[0]))
+        for_clean = np.maximum(0, np.log(says_no[0]) - np.log(says_no[1]))
+        if step in (0, 1, 2, 4, 8, 16):
+            rest = (yes - mass.T @ says_yes) * yes.any(axis=0)
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-            tied = np.clip((rest.T @ rest) / n / np.outer(scale, scale), 0, 1)
-            tied[-1, :-1] = tied[:-1, -1] = 0
-            share = 1 / np.maximum(1, tied.sum(axis=1))
-        ratio = np.log(rate[1]) - np.log(rate[0])
-        logit = np.einsum("kym,km,m->y", kinds, ratio, share) + np.log(prior[1] / prior[0])
+            tied = np.clip((rest.T @ rest) / n / np.outer(scale, scale), -1, 1)
+            tied[np.abs(tied) < 2 / np.sqrt(n)] = 0
+            tied[m - over_all :, : m - over_all] = tied[: m - over_all, m - over_all :] = 0
+            np.fill_diagonal(tied, 1)
+            share = 1 / np.maximum(0.5, tied.sum(axis=1))
+        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+        logit = yes @ (share * for_toxic) - no @ (share * for_clean) + np.log(prior / (1 - prior))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, share[:-1]
+    right = post @ yes + (1 - post) @ no
+    return post, (right + 1) / (yes.sum(axis=0) + no.sum(axis=0) + 2), share
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -174,19 +187,24 @@ def design(counts: np.ndarray, words: np.ndarray, patterns: np.ndarray, rates: n
 class Model:
     """Stems, the rates their voters ask, and the classifier's weights: some kilobytes."""
 
-    def __init__(self, texts: list[bytes], toxic: np.ndarray, share: float):
+    def __init__(self, texts: list[bytes], toxic: np.ndarray, others: list[bytes], share: float):
         stems, self.rates = choose_stems(texts, toxic) if len(texts) else (np.zeros(0, U64), np.zeros(0))
         self.counter, self.weights = Counter(stems), None
         if not len(texts) or toxic.min() == toxic.max():
             self.weights = None if not len(texts) or not toxic.max() else np.append(np.zeros(len(self._inputs(texts[:1])[0])), 4.0)
             return
-        counts, words, patterns = (np.concatenate(p) for p in zip(*(self._count(t) for t in texts)))
-        bars = np.quantile(patterns[toxic == 0], 0.98, axis=0)
-        self.posterior, self.shares = label_model(votes_of(counts, words, patterns, self.rates, bars), toxic)
+        counts, words, patterns = (np.concatenate(p) for p in zip(*(self._count(t) for t in [*texts, *others])))
+        lexicon, clean = lexicon_of(counts, words, self.rates), np.flatnonzero(toxic == 0)
+        bars, held = np.quantile(patterns[clean], 0.98, axis=0), lexicon[: len(toxic)].sum(axis=1)
+        # Where "many" begins: where it parts the labels best.
+        many = max(range(3, 13), key=lambda n: (held[toxic == 1] >= n).mean() - 4 * (held[clean] >= n).mean())
+        # As with stems, a pattern has a voter only if toxic texts show it at least four times as often.
+        often = [(patterns[np.flatnonzero(toxic == y)] > bars).mean(axis=0) for y in (0, 1)]
+        bars = np.where(often[1] >= 4 * np.maximum(often[0], 0.005), bars, np.inf)
+        self.posterior, self.accuracies, self.shares = label_model(votes_of(lexicon, patterns, bars, many), over_all=2)
         self.weights = logistic(design(counts, words, patterns, self.rates), self.posterior)
-        # The sample holds either label alike; scores are for the share of toxic rows among all.
-        own = toxic.mean()
-        share = min(max(share, 1e-4), 1 - 1e-4)
+        # Toxic rows are more frequent in the sample than among all; scores are for their share among all.
+        own, share = (min(max(p, 1e-4), 1 - 1e-4) for p in (self.posterior.mean(), share))
         self.weights[-1] += np.log(share / (1 - share)) - np.log(own / (1 - own))
 
     def _count(self, text: bytes):
@@ -202,24 +220,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` rows of either label among the labelled rows that meet learn (a condition on the id).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
+    """Fit on about ``sample`` rows of either label among the labelled rows that meet learn (a condition on the id), and on
+    ``unlabelled`` rows of docs that meet it too, whose labels are not looked at.
 
     Rows without a label or an id are not learned from; a row's label is its largest where it has several."""
     known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
-    hashed = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 24))
+    hashed, full = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 24)), 1 << 24
     few = F.lit(False)
     for label, n in counts.items():
-        few = few | ((F.col("_label") == label) & (hashed < int(min(1.0, sample / n) * (1 << 24)) + 1))
+        few = few | ((F.col("_label") == label) & (hashed < int(min(1.0, sample / n) * full) + 1))
     # Bounded by the sample, so the ids are local data of known size and texts stay where they are.
-    picked = known.where(few).limit(4 * sample).collect()
+    picked = known.where(few).orderBy(hashed, id_col).limit(4 * sample).collect()
     chosen = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array([r[0] for r in picked], pa.int64()), "_label": pa.array([r[1] for r in picked], pa.int32())}))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_label", "text").limit(4 * sample).collect()
+    texts = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
+    order = F.xxhash64("_id", F.lit(3)), F.xxhash64("text")
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(*order).limit(4 * sample).select("_label", "text").collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)
+    others = []
+    if rows and unlabelled:
+        n = texts.count()
+        drawn = F.pmod(F.xxhash64(F.col("_id"), F.lit(4)), F.lit(full)) < int(min(1.0, unlabelled / max(1, n)) * full) + 1
+        other = texts.where(drawn).join(F.broadcast(chosen), "_id", "left_anti")
+        others = sorted(bytes(r[0]) for r in other.orderBy(F.xxhash64("_id", F.lit(4)), F.xxhash64("text")).limit(2 * unlabelled).select("text").collect())
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return Model([r[1] for r in rows], np.array([r[0] for r in rows], np.int64), share)
+    return Model([r[1] for r in rows], np.array([r[0] for r in rows], np.int64), others, share)
 
 
 def scored(docs: DataFrame, text_col: str, model: Model, name: str = "score") -> DataFrame:
@@ -229,17 +255,18 @@ def scored(docs: DataFrame, text_col: str, model: Model, name: str = "score") ->
     schema = T.StructType([*base.schema, T.StructField(name, T.DoubleType())])
 
     def run(batches):
+        kept(None)
         for b in batches:
             data, offsets = bytetext.column_bytes(b.column(place))
             out = [model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in bytetext.row_blocks(offsets)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())], names=[*b.schema.names, name])
 
-    return base.mapInArrow(run, schema)
+    return bounded(base).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
     """Rows whose labels nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

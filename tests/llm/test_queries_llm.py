@@ -97,16 +97,33 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_label_model_finds_good_and_doubled_voters():
+    """Voters alone: the posterior beats every voter, a doubled voter has half a vote, an idle one counts for nothing."""
     from stratoplane.llm.toxicity import label_model
 
     draw = np.random.default_rng(1)
-    truth = draw.random(2000) < 0.4
-    good = np.where(draw.random(2000) < 0.9, truth, ~truth)
-    poor = draw.random((2000, 3)) < 0.5
-    votes = np.where(np.column_stack([good, good, poor]), 1, -1).astype(np.int8)
-    gold = np.where(draw.random(2000) < 0.85, truth, ~truth).astype(int)
-    post, share = label_model(votes, gold)
-    assert ((post > 0.5) == truth).mean() > 0.87 and share[0] < 0.7 < share[3]
+    truth = draw.random(3000) < 0.3
+    voter = lambda right: np.where(np.where(draw.random(3000) < right, truth, ~truth), 1, -1)
+    good, fair = voter(0.85), np.column_stack([voter(0.8) for _ in range(4)])
+    votes = np.column_stack([good, good, fair, np.zeros(3000), voter(0.5)]).astype(np.int8)
+    post, accuracy, share = label_model(votes)
+    right = ((post > 0.5) == truth).mean()
+    assert right > 0.88 and all(right > ((votes[:, k] == 1) == truth).mean() for k in (0, *range(2, 6)))
+    assert share[0] < 0.75 * share[2:6].min() and np.abs(accuracy[:6] - [0.85, 0.85, 0.8, 0.8, 0.8, 0.8]).max() < 0.06 and accuracy[7] < 0.65
+
+
+def test_posterior_beats_noisy_labels():
+    """Labels with a tenth wrong choose the voters; the posterior of the votes is nearer to the truth than they are, and not equal to them."""
+    from stratoplane.llm.toxicity import Model
+
+    draw = np.random.default_rng(3)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    mean, plain = [word() for _ in range(12)], [word() for _ in range(400)]
+    truth = draw.random(900) < 0.3
+    texts = [" ".join([*draw.choice(plain, 40), *(draw.choice(mean, 5) if y else [])]).encode() for y in truth]
+    gold = np.where(draw.random(900) < 0.1, ~truth, truth).astype(np.int64)
+    model = Model(texts[:600], gold[:600], texts[600:], 0.3)
+    found = model.posterior > 0.5
+    assert (found == truth).mean() > 0.98 > (gold == truth).mean() and (found[:600] != gold[:600]).any()
 
 
 # --- 2
@@ -347,6 +364,33 @@ def test_top_k_with_ties_in_blocks(spark, monkeypatch, copies):
     assert found == brute_top(vectors)
 
 
+def test_bounds_leave_outsiders_of_skewed_vectors():
+    """Components that fall off quickly: few vectors are left long before the lists are read; nearly even ones take most of them."""
+    draw = np.random.default_rng(6)
+    for fall, most_left in ((0.5, 0.05), (1.0, 1.0)):
+        x = np.floor(256 * draw.normal(size=(3000, 24)) * fall ** np.arange(24))
+        own = np.eye(20, 3000, dtype=bool)
+        left = [(read / 3000, alive.sum(axis=1).mean() / 3000) for read, alive in topk.narrowed(x[:20], np.full(20, -np.inf), x, own, 5)]
+        shares = [s for _, s in left]
+        assert shares == sorted(shares, reverse=True) and min(s for read, s in left if read <= 0.75) <= most_left
+        q = x[:20]
+        got = list(topk.block_top(np.arange(20), q, np.full(20, -np.inf), np.arange(3000), x))
+        want = [(i, j, -s) for i in range(20) for s, j in sorted((-int(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:5]]
+        assert got == want
+        # A bar from elsewhere leaves what is under it.
+        high = np.array([max(s for i, _, s in want if i == k) + 1.0 for k in range(20)])
+        assert not list(topk.block_top(np.arange(20), q, high, np.arange(3000), x))
+
+
+def test_repeated_ids_are_one_vector(spark):
+    from pyspark.sql import functions as F
+
+    vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0]), (3, [2.0, 0.0]), (3, [1.0, 0.0])]
+    found = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 50 == 0).collect()
+    best = min(np.floor(256 * np.array(v)).astype("<i4").tobytes() for i, v in vectors if i == 3)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 3, 256 * int(np.frombuffer(best, "<i4")[0])), (2, 1, 128 * 256), (3, 2, 64 * 256)]
+
+
 # --- 9
 
 
