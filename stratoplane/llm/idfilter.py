@@ -5,10 +5,15 @@ Executors build its pages with bitmap aggregates; the driver sees the finished p
 """
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST, HASHES, _PAGE = 18, 28, 4, 32768
+from . import bytetext
+
+U64 = np.uint64
+LEAST, MOST, _PAGE = 18, 28, 32768
+_SALTS = [0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B]
 
 
 def fits(count: int) -> bool:
@@ -20,22 +25,30 @@ def bits_for(count: int) -> int:
     return min(MOST, max(LEAST, (16 * max(1, count) - 1).bit_length()))
 
 
-def positions(ident: str, bits: int) -> Column:
-    """The bits of an id, as an array column."""
-    return F.array(*(F.pmod(F.xxhash64(F.col(ident), F.lit(101 + k)), F.lit(1 << bits)) for k in range(HASHES)))
+def positions(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each id, a row an id."""
+    h = np.asarray(ids).astype(np.int64).view(U64)
+    return np.stack([(bytetext.mix(h ^ U64(salt)) >> U64(64 - bits)).astype(np.int64) for salt in _SALTS], axis=1)
 
 
 class IdFilter:
-    """Built from a DataFrame with the id column; ask with the positions of ids."""
+    """Built from a DataFrame with a column of long ids, of which there are ``count``."""
+
+    def __init__(self, ids: DataFrame, ident: str, count: int):
+        self.bits = bits = bits_for(count)
+
+        def places(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(positions(b.column(0).to_numpy(zero_copy_only=False), bits).reshape(-1))], names=["p"])
 
-    def __init__(self, ids: DataFrame, ident: str, bits: int):
-        at = ids.select(ident).distinct().select(F.explode(positions(ident, bits)).alias("p"))
+        at = ids.select(F.col(ident).cast("long")).mapInArrow(places, "p long")
         pages = at.groupBy(F.floor(F.col("p") / _PAGE).alias("page")).agg(F.expr(f"bitmap_construct_agg(p % {_PAGE})").alias("bitmap"))
         whole = np.zeros((1 << bits) // _PAGE * (_PAGE // 8), np.uint8)
         for page, bitmap in pages.collect():
             whole[page * (_PAGE // 8) : (page + 1) * (_PAGE // 8)] = np.frombuffer(bytes(bitmap), np.uint8)
         self.held = ids.sparkSession.sparkContext.broadcast(whole)
 
-    def contains(self, places: np.ndarray) -> np.ndarray:
-        """For rows of bit places whether all are set."""
-        return ((self.held.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)
+    def contains(self, ids: np.ndarray) -> np.ndarray:
+        """For each id whether all its bits are set."""
+        at = positions(ids, self.bits)
+        return ((self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)

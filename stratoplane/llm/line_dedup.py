@@ -6,8 +6,8 @@ documents hold, the smallest document id keeps its lines and all other documents
 1. Every long enough line becomes (128-bit hash of the key, document, position).
 2. The hashes are range-partitioned by (hash, salt of the document) with a secondary sort by document and position, and a
    window streams each run: rows of any but the run's first document are dropped for good. A hash of a third of all lines is
-   SALTS runs, so no task takes all its rows.
-3. The runs' first holders, at most SALTS documents for a hash, are range-partitioned by hash and streamed the same way.
+   SALTS runs (as many as shuffle partitions, if these are more), so no task takes all its rows.
+3. The runs' first holders, at most a document for each salt, are range-partitioned by hash and streamed the same way.
 4. Dropped positions, far fewer than lines, are gathered by document to a keep bitmap in run-length form; texts do not travel for
    it. ``keep_lines`` applies bitmaps to documents.
 
@@ -50,7 +50,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, n_lines, keep: for each document that loses lines, the runs (start, len) of lines that stay.
 
     Documents that are not listed keep every line."""
-    rows = written(line_rows(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))), "lines")
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(line_rows(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts))), "lines")
     runs = written(_first_holders(rows, ["h1", "h2", "salt"]), "line-runs")
     later = runs.where("doc <> first_doc").select("doc", "n_lines", "pos")
     heads = _first_holders(runs.where("doc = first_doc").drop("salt", "first_doc"), ["h1", "h2"])

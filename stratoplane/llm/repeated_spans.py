@@ -3,26 +3,27 @@
 A window is WINDOW consecutive words. A word goes if a window that covers it also starts, with the same word sequence, in a
 document with a smaller id.
 
-1. Prefilter. A window's anchor is the smallest hash among its runs of GRAM words, so equal windows have equal anchors,
-   and neighbouring windows mostly share one. Each partition counts, in a count-min sketch, the documents that hold an
-   anchor; the partitions' sketches are added up, piece by piece, with a shuffle. A window's estimate (its anchor's) is never
-   below the number of documents that hold the window, so windows estimated at one document cannot repeat: none is lost.
-   What is broadcast is one bit per counter for "at least two" and one for "above HOT": DEPTH * 2**WIDTH_BITS / 4 bytes, a
-   fixed size. On more text the sketch lets more windows through (to be grouped for nothing), never fewer; raise
-   ``width_bits`` with the corpus.
-2. Exact grouping of the windows that are estimated to repeat. The windows of one anchor travel as one packed row, and
+1. Prefilter. A window's anchor is the smallest hash among its runs of GRAM words, so equal windows have equal anchors, and
+   neighbouring windows mostly share one. Each partition counts the documents that hold an anchor; its sketch goes out in
+   pieces, by the high bits of the anchor's hash. Pieces of all partitions are added up to a count-min sketch, and the
+   anchors that came with them are looked up in it. A window's estimate (its anchor's) is never below the number of documents
+   that hold the window, so windows estimated at one document cannot repeat: none is lost. The sketch has LOAD counters for
+   each anchor that the texts' bytes let expect, in as many pieces as that takes, so it filters alike at every size; a piece
+   is a few hundred kilobytes, and no task or driver ever holds them all.
+2. The anchors estimated at two documents or more go back to the texts: as a filter of bounded size (``idfilter``), or, where
+   they are too many for it, by a join of the texts' anchors and then of the texts.
+3. Exact grouping of the windows of these anchors. The windows of one anchor and document travel as one packed row, and
    every anchor's rows are streamed in the order of document ids: the first document to show a window keeps it, later ones
-   lose it. Anchors with an estimate above HOT are first streamed by (anchor, salt of the document); only each salt's first
-   holders go on, window by window, so no anchor gathers in one task.
-3. The marked windows, merged to spans, meet their documents by id.
-
-Null and empty texts have no words. Rows of one id count as one document; rows without an id keep their whole text. Repeats
-within one document stay. Empty tables give empty results.
+   lose it. Anchors with an estimate above HOT are first streamed by (anchor, salt of the document); of these only each
+   salt's first holders go on, a row for each different window of an anchor, to the same question over the salts.
+4. The marked windows, merged to spans, meet their documents by id.
+
+Null and empty texts have no words. Rows of one id count as one document, each text loses what is its own; rows without an id keep
+their whole text. Repeats
+within one document stay. Texts of any length are hashed whole, in segments. Extra columns are ignored, and so are columns with
+names of results. Empty tables give empty results.
 """
 
-import hashlib
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,15 @@ from pyspark.sql import functions as F
 from ..shared_store import written
 from ..tables import table
 from . import bytetext
+from .arrowrows import bounded, kept
+from .idfilter import IdFilter, fits
 
 U64 = np.uint64
 WINDOW, GRAM = 50, 10
-DEPTH, WIDTH_BITS = 2, 25
-#: Counters in a piece of the sketch; the estimate from which an anchor is salted; salts.
-PIECE_BITS, HOT, SALTS = 16, 100, 128
+#: Rows of the sketch, counters in a row for each expected anchor, bytes of text that hold one anchor, counters in a row of a piece (as bits).
+DEPTH, LOAD, ANCHOR_BYTES, PIECE_BITS = 2, 8, 96, 16
+#: The estimate from which an anchor is salted; salts at least; anchors of a partition that are counted together.
+HOT, SALTS, TOGETHER = 100, 64, 1 << 20
 _SALT = [0x8F1BBCDC68C4D3A9, 0x5A827999CA62C1D6]
 
 
@@ -72,146 +76,223 @@ def anchor_runs(column: pa.Array):
         yield lo, words, begin, row[first], anchors[first], first, last
 
 
-def _slots(anchors: np.ndarray, depth: int, width_bits: int) -> np.ndarray:
-    return (bytetext.mix(anchors ^ U64(_SALT[depth])) >> U64(64 - width_bits)).astype(np.int64)
+def _slots(anchors: np.ndarray, depth: int) -> np.ndarray:
+    """An anchor's counter in a row of its piece."""
+    return (bytetext.mix(anchors ^ U64(_SALT[depth])) >> U64(64 - PIECE_BITS)).astype(np.int64)
+
 
+def sketch_pieces(docs: DataFrame, text_col: str) -> int:
+    """Pieces of a sketch with LOAD counters a row for each anchor that texts of this size hold."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-size * LOAD // ANCHOR_BYTES) >> PIECE_BITS)
 
-def anchor_sketch(docs: DataFrame, id_col: str, text_col: str, width_bits: int = WIDTH_BITS) -> tuple[bytes, bytes]:
-    """The merged sketch, DEPTH rows of 2**width_bits counters that stop at 255, as bits: at least 2, and above HOT."""
+
+def estimated_repeats(docs: DataFrame, text_col: str, pieces: int) -> DataFrame:
+    """anchor, hot: the anchors that the merged sketch estimates in two documents or more, and whether in more than HOT."""
     hot_from = HOT
-    piece_bits = min(PIECE_BITS, width_bits)
 
     def count(batches):
-        sketch = np.zeros((DEPTH, 1 << width_bits), np.uint8)
+        kept(None)
+        held, size = [], 0
+
+        def sketch():
+            anchors, n = np.unique(np.concatenate(held), return_counts=True)
+            piece = (bytetext.mix(anchors) % U64(pieces)).astype(np.int64)
+            order = np.argsort(piece, kind="stable")
+            anchors, n, piece = anchors[order], np.minimum(n[order], 255).astype(np.uint8), piece[order]
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+            for lo in range(0, len(starts), 4096):
+                at = np.append(starts, len(piece))[lo : lo + 4097]
+                packed = [pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(((at - at[0]) * w).astype(np.int32)), pa.py_buffer(x[at[0] : at[-1]].tobytes())]) for x, w in ((anchors, 8), (n, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(piece[at[:-1]]), *packed], names=["piece", "anchors", "counts"])
+
         for b in batches:
-            for _, _, _, row, anchors, _, _ in anchor_runs(b.column(1)):
+            for _, _, _, row, anchors, _, _ in anchor_runs(b.column(0)):
                 order = np.lexsort((anchors, row))
                 row, anchors = row[order], anchors[order]
                 once = np.ones(len(row), bool)
                 once[1:] = (row[1:] != row[:-1]) | (anchors[1:] != anchors[:-1])
-                for d in range(DEPTH):
-                    slot, n = np.unique(_slots(anchors[once], d, width_bits), return_counts=True)
-                    sketch[d][slot] = np.minimum(255, sketch[d][slot] + n)
-        pieces = sketch.reshape(-1, 1 << piece_bits)
-        filled = np.flatnonzero(pieces.any(axis=1))
-        for lo in range(0, len(filled), 256):
-            at = filled[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(pieces[k].tobytes(), 1) for k in at], pa.binary())], names=["piece", "counts"])
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
+                held.append(anchors[once])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield from sketch()
+                    held, size = [], 0
+        if held:
+            yield from sketch()
+
+    def estimate(batches):
+        now, parts = None, []
+
+        def settle():
+            anchors = np.concatenate([a for a, _ in parts])
+            counts = np.concatenate([c for _, c in parts])
+            least = None
+            for d in range(DEPTH):
+                slot = _slots(anchors, d)
+                row = np.bincount(slot, counts, minlength=1 << PIECE_BITS)[slot]
+                least = row if least is None else np.minimum(least, row)
+            found, at = np.unique(anchors[least >= 2], return_index=True)
+            hot = least[least >= 2][at] > hot_from
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(hot)], names=["anchor", "hot"])
+
         for b in batches:
-            for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                one = np.frombuffer(zlib.decompress(counts), np.uint8)
-                sums[k] = one if k not in sums else np.minimum(255, sums[k].astype(np.uint16) + one).astype(np.uint8)
-        for k, v in sums.items():
-            bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (v >= 2, v > hot_from)]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *bits], names=["piece", "two", "hot"])
-
-    parts = docs.select(id_col, text_col).mapInArrow(count, "piece long, counts binary")
-    merged = parts.repartition("piece").mapInArrow(merge, "piece long, two binary, hot binary")
-    size = (1 << piece_bits) // 8
-    two, hot = (bytearray((DEPTH << width_bits) // 8) for _ in range(2))
-    for piece, some, many in merged.collect():  # bounded by the sketch's fixed size
-        two[piece * size : (piece + 1) * size], hot[piece * size : (piece + 1) * size] = some, many
-    return bytes(two), bytes(hot)
-
-
-def _all_set(bits: bytes, anchors: np.ndarray, width_bits: int) -> np.ndarray:
-    """Whether every row of the sketch has the anchors' bits set."""
-    held, out = np.frombuffer(bits, np.uint8), np.ones(len(anchors), bool)
-    for d in range(DEPTH):
-        slot = _slots(anchors, d, width_bits) + (d << width_bits)
-        out &= ((held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-    return out
-
-
-def estimated_repeats(docs: DataFrame, id_col: str, text_col: str, sketch: tuple[bytes, bytes]) -> DataFrame:
-    """anchor, doc, first (word), hot and the packed hashes of each run of windows whose anchor is estimated in two documents."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-    width_bits = (len(sketch[0]) * 8 // DEPTH).bit_length() - 1
+            for piece, anchors, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if piece != now and parts:
+                    yield settle()
+                    parts = []
+                now = piece
+                parts.append((np.frombuffer(anchors.as_buffer(), U64).copy(), np.frombuffer(counts.as_buffer(), np.uint8).copy()))
+        if parts:
+            yield settle()
+
+    parts = bounded(docs).select(text_col).mapInArrow(count, "piece long, anchors binary, counts binary")
+    return written(parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(estimate, "anchor long, hot boolean"), "anchors")
+
+
+def _packed_windows(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The hashes of the windows from first to last, packed, for each run."""
+    windows, n = bytetext.gram_hashes(words, WINDOW), last - first
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    places = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(windows[at].tobytes())])
+
+
+_WINDOWS = "anchor long, doc long, mark long, first long, hot boolean, windows binary"
+
+
+def windows_by_filter(docs: DataFrame, id_col: str, text_col: str, repeats: DataFrame, count: int) -> DataFrame:
+    """anchor, doc, mark (a hash of the text), first (word), hot and the packed hashes of each run of windows with an anchor of repeats; a filter finds them in
+    the texts where they are, with a few others by chance."""
+    some, often = IdFilter(repeats, "anchor", count), IdFilter(repeats.where("hot"), "anchor", count)
 
     def find(batches):
+        kept(None)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, marks = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for lo, words, begin, row, anchors, first, last in anchor_runs(b.column(1)):
-                hit = np.flatnonzero(_all_set(held.value[0], anchors, width_bits))
-                if not len(hit):
-                    continue
-                first, last, row = first[hit], last[hit], row[hit]
-                windows = bytetext.gram_hashes(words, WINDOW)
-                n = last - first
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                places = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(places), pa.py_buffer(windows[at].tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors[hit].view(np.int64)), pa.array(ids[lo + row]), pa.array(first - begin[row]), pa.array(_all_set(held.value[1], anchors[hit], width_bits)), packed],
-                    names=["anchor", "doc", "first", "hot", "windows"],
-                )
-
-    held_rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return held_rows.mapInArrow(find, "anchor long, doc long, first long, hot boolean, windows binary")
+                hit = np.flatnonzero(some.contains(anchors))
+                if len(hit):
+                    first, last, row, anchors = first[hit], last[hit], row[hit], anchors[hit]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchors.view(np.int64)), pa.array(ids[lo + row]), pa.array(marks[lo + row]), pa.array(first - begin[row]), pa.array(often.contains(anchors)), _packed_windows(words, first, last)],
+                        names=["anchor", "doc", "mark", "first", "hot", "windows"],
+                    )
+
+    return bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(find, _WINDOWS)
+
+
+def windows_by_join(docs: DataFrame, id_col: str, text_col: str, repeats: DataFrame) -> DataFrame:
+    """As windows_by_filter, for any number of repeats: the texts' anchors meet them, and the runs found meet the texts again."""
+
+    def runs(batches):
+        kept(None)
+        for b in batches:
+            ids, marks = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            for lo, _, begin, row, anchors, first, last in anchor_runs(b.column(1)):
+                columns = anchors.view(np.int64), ids[lo + row], marks[lo + row], first - begin[row], last - begin[row]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "doc", "mark", "first", "last"])
+
+    def hashes(batches):
+        kept(None)
+        for b in batches:
+            data, offsets = bytetext.column_bytes(b.column(1))
+            for k, (doc, mark, found) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3))):
+                part = data[offsets[k] : offsets[k + 1]]
+                starts, ends, _ = bytetext.word_bounds(part, np.array([0, len(part)]))
+                anchor, first, last, hot = (found.values.field(name).to_numpy(zero_copy_only=False) for name in ("anchor", "first", "last", "hot"))
+                own = pa.array([doc] * len(first), pa.int64()), pa.array([mark] * len(first), pa.int64())
+                packed = _packed_windows(bytetext.word_hashes(part, starts, ends), first, last)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *own, pa.array(first), pa.array(hot.astype(bool)), packed], names=["anchor", "doc", "mark", "first", "hot", "windows"])
+
+    held = bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    found = held.mapInArrow(runs, "anchor long, doc long, mark long, first long, last long").join(repeats, "anchor")
+    found = found.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "last", "anchor", "hot")).alias("runs"))
+    return held.join(found, ["doc", "mark"]).select("doc", "text", "mark", "runs").mapInArrow(hashes, _WINDOWS)
 
 
 def _stream(keys: list[str], forward: bool):
     """Stream rows sorted by keys and document: marks the windows that an earlier document of the key has shown.
 
-    Gives (doc, first, n, null) for n consecutive marked windows; with forward also (doc, first, null, hash) for the others."""
+    Gives (doc, mark, first, n, null, null) for n consecutive marked windows; with forward also (doc, null, null, null, anchor, hash),
+    once for each different window, for the document that shows it first."""
 
     def run(batches):
+        kept(None)
         now, seen = None, {}
         for b in batches:
-            docs_, firsts, packed = (b.column(b.schema.get_field_index(c)) for c in ("doc", "first", "windows"))
+            docs_, marks, firsts, packed = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc", "mark", "first", "windows"))
             key_rows = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys)))
             out = []
-            for key, doc, first, hashes in zip(key_rows, docs_.to_pylist(), firsts.to_pylist(), packed.to_pylist()):
+            for key, doc, mark, first, hashes in zip(key_rows, docs_, marks, firsts, packed):
                 if key != now:
                     now, seen = key, {}
                 start, k = None, 0
                 for k, h in enumerate(np.frombuffer(hashes, np.int64).tolist()):
-                    if seen.setdefault(h, doc) != doc:
-                        if start is None:
-                            start = k
+                    holder = seen.get(h)
+                    if holder is None:
+                        seen[h] = doc
+                        if forward:
+                            out.append((doc, None, None, None, key[0], h))
+                    elif holder != doc:
+                        start = k if start is None else start
                         continue
                     if start is not None:
-                        out.append((doc, first + start, k - start, None))
+                        out.append((doc, mark, first + start, k - start, None, None))
                         start = None
-                    if forward:
-                        out.append((doc, first + k, None, h))
                 if start is not None:
-                    out.append((doc, first + start, k + 1 - start, None))
+                    out.append((doc, mark, first + start, k + 1 - start, None, None))
             if out:
-                columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc", "first", "n", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "mark", "first", "n", "anchor", "hash"])
 
     return run
 
 
-_MARKS = "doc long, first long, n long, hash long"
+def _late_windows(batches):
+    """Rows (doc, mark, first, windows, gone) with the packed hashes that the document has to lose: its (first, n) runs of them."""
+    for b in batches:
+        out = []
+        for doc, mark, first, windows, gone in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), b.column(4)):
+            hit = np.isin(np.frombuffer(windows.as_buffer(), np.int64), gone.values.to_numpy())
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+            out += [(doc, mark, first + lo, hi - lo) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "mark", "first", "n"])
+
 
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, by_join: bool | None = None) -> DataFrame:
+    """doc, mark, spans: for each document (and text) with repeated passages the array of (first, n) runs of marked windows, in order.
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width_bits: int = WIDTH_BITS) -> DataFrame:
-    """doc, spans: for each document with repeated passages the array of (first, n) runs of marked windows, in order."""
-    rows = estimated_repeats(docs, id_col, text_col, anchor_sketch(docs, id_col, text_col, width_bits))
+    by_join settles how anchors get back to the texts; without it their number does."""
+    repeats = estimated_repeats(docs, text_col, sketch_pieces(docs, text_col))
+    count = repeats.count()
+    by_join = not fits(count) if by_join is None else by_join
+    rows = windows_by_join(docs, id_col, text_col, repeats) if by_join else windows_by_filter(docs, id_col, text_col, repeats, count)
     rows = written(rows, "windows")
+    names = "doc long, mark long, first long, n long, anchor long, hash long"
     few = rows.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "first")
-    marks = few.select("anchor", "doc", "first", "windows").mapInArrow(_stream(["anchor"], False), _MARKS)
-    hot = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
-    hot = hot.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "first")
-    streamed = written(hot.select("anchor", "salt", "doc", "first", "windows").mapInArrow(_stream(["anchor", "salt"], True), _MARKS), "hot-windows")
-    heads = streamed.where("n IS NULL").select("hash", "doc", "first")
-    firsts = heads.groupBy("hash").agg(F.min("doc").alias("keeper"))
-    late = heads.join(firsts, "hash").where("doc <> keeper").select("doc", "first", F.lit(1).cast("long").alias("n"))
-    every = marks.select("doc", "first", "n").unionByName(streamed.where("n IS NOT NULL").select("doc", "first", "n")).unionByName(late)
-    return every.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
+    marks = few.select("anchor", "doc", "mark", "first", "windows").mapInArrow(_stream(["anchor"], False), names)
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+    dealt = hot.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "first")
+    streamed = written(dealt.select("anchor", "salt", "doc", "mark", "first", "windows").mapInArrow(_stream(["anchor", "salt"], True), names), "hot-windows")
+    # A salt's first holders, a row for each different window: at most one for every salt. The first of all keeps it.
+    heads = streamed.where("hash IS NOT NULL").select("anchor", "hash", "doc")
+    keepers = written(heads.groupBy("anchor", "hash").agg(F.min("doc").alias("keeper"), F.max("doc").alias("z")).where("keeper <> z").drop("z"), "keepers")
+    gone = heads.join(keepers, ["anchor", "hash"]).where("doc <> keeper").groupBy("anchor", "doc").agg(F.collect_set("hash").alias("gone"))
+    late = hot.join(gone, ["anchor", "doc"]).select("doc", "mark", "first", "windows", "gone").mapInArrow(_late_windows, "doc long, mark long, first long, n long")
+    found = ["doc", "mark", "first", "n"]
+    every = marks.select(found).unionByName(streamed.where("n IS NOT NULL").select(found)).unionByName(late)
+    return every.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_words, n_removed and the kept words (joined by one space) of every row."""
     kind = dict(docs.dtypes)[id_col]
-    both = docs.select(id_col, text_col).join(spans, F.col(id_col).cast("long") == F.col("doc"), "left").select(id_col, text_col, "spans")
+    own = F.col(id_col).cast("long") == F.col("_doc"), F.xxhash64(text_col) == F.col("_mark")
+    both = bounded(docs).select(id_col, text_col).join(spans.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "spans"), list(own), "left").select(id_col, text_col, "spans")
 
     def cut(batches):
+        kept(None)
         for b in batches:
             out_n, out_gone, out_kept = [], [], []
             for text, marked in zip(b.column(1), b.column(2).to_pylist()):

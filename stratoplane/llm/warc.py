@@ -1,7 +1,11 @@
 """WARC archives of pages: writing with chunked transfer framing and segments, reading with reassembly.
 
-Writing: every page is a record. Of pages with equal payloads the one with the largest id is a response, the others are
-revisits of it; pages without an equal are responses. A response's HTTP message is framed in chunks; a message of more
+Writing: every page is a record, named after its id and its row's place in the table. Of pages with equal payloads the one with the
+largest id is a response, the others are revisits that refer to its record by name; pages without an equal are responses. Who
+revisits whom is settled on digests and ids alone: the largest id of a digest is a sum combined before the shuffle, and a digest
+that many pages share is joined to it from tables that Spark can split. Payloads travel once, by the rows' places, so a payload
+that a third of all pages have weighs on no task; those of revisits stay behind, as their records do not hold them. A response's
+HTTP message is framed in chunks; a message of more
 than SEGMENT bytes is cut: a first response record with segment number 1, then continuation records that name the first one as
 their origin, the last with the total length. Every record is a gzip member; an archive is a .warc.gz file of about ARCHIVE
 bytes that starts with a warcinfo record. Archives are rows (name, content), written to the shared store by Spark, so no
@@ -11,8 +15,9 @@ Reading: archives are taken apart record by record. Whole records are settled at
 number, checked for gaps and for the total length, then joined. Chunked framing is decoded, and the payload is held against
 the record's digest; a broken record raises ValueError.
 
-Null html is an empty payload, empty payloads are equal like any other. Repeated rows of the winning id are all responses; a
-null id is a page of its own kind and never wins over an id. Empty tables give empty results, extra columns are ignored.
+Null html is an empty payload, empty payloads are equal like any other. Repeated rows of the winning id are all responses, each under
+a name of its own, and revisits refer to one of them; a null id is a page of its own kind and never wins over an id. Long payloads
+are segments, put together one record at a time. Empty tables give empty results, extra columns are ignored.
 """
 
 import base64
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 
 from ..shared_store import written
 from ..tables import table
+from .arrowrows import bounded, kept
+from .rowkeys import keyed
 
 CHUNK, SEGMENT, ARCHIVE = 4096, 32 << 10, 4 << 20
 _END = b"\r\n\r\n"
@@ -85,15 +92,20 @@ def records(file: bytes):
         yield fields, rest[:n]
 
 
-def page_records(page_id, url: str | None, payload: bytes, winner, copy: str):
-    """The records of one page."""
+def record_name(page_id, place: str) -> str:
+    """The name of a page's record: its id and its row's place."""
+    return f"<urn:page:{page_id}:{place}>"
+
+
+def page_records(page_id, place: str, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: str | None = None):
+    """The records of one page; a revisit of the record ``refers_to`` needs the payload's size and digest only."""
     # A line break in an address would end the field; it is written as a blank.
     target = " ".join((url or "about:blank").split()) or "about:blank"
-    digest, name = payload_digest(payload), f"<urn:page:{page_id}:{copy}>"
+    name = record_name(page_id, place)
     fields = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": target, "WARC-Page-ID": page_id, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
-    if winner is not None and winner != page_id:
-        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-        yield record(fields | {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{winner}>"}, head.encode())
+    if refers_to is not None:
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
+        yield record(fields | {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": refers_to}, head.encode())
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT:
@@ -102,29 +114,45 @@ def page_records(page_id, url: str | None, payload: bytes, winner, copy: str):
     yield record(fields | {"WARC-Segment-Number": 1}, block[:SEGMENT])
     for number, at in enumerate(range(SEGMENT, len(block), SEGMENT), 2):
         total = len(block) if at + SEGMENT >= len(block) else None
-        yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:page:{page_id}:{copy}:{number}>", "WARC-Date": fields["WARC-Date"], "WARC-Target-URI": target, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": number, "WARC-Segment-Total-Length": total}, block[at : at + SEGMENT])
+        yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:{number}>", "WARC-Date": fields["WARC-Date"], "WARC-Target-URI": target, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": number, "WARC-Segment-Total-Length": total}, block[at : at + SEGMENT])
+
+
+def revisits(raw: DataFrame) -> DataFrame:
+    """_file, _row of every row that revisits another, and the id and place of that one; from digests and ids alone."""
+    marks = raw.select("_file", "_row", "id", F.sha1("payload").alias("digest"))
+    marks = written(marks, "digests")
+    winners = marks.groupBy("digest").agg(F.max(F.struct("id", "_file", "_row")).alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    winners = written(winners.select("digest", F.col("w.id").alias("to_id"), F.col("w._file").alias("to_file"), F.col("w._row").alias("to_row")), "winners")
+    # A page with the winning id is a response too, and so are all of a payload that no page with an id has.
+    return marks.join(winners, "digest").where("NOT id <=> to_id").drop("digest", "id")
 
 
 def archives(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """name, content: .warc.gz files that hold every row of pages."""
-    raw = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    raw = raw.withColumn("digest", F.sha1("payload"))
-    winners = raw.groupBy("digest").agg(F.max("id").alias("winner"))
-    decided = raw.join(winners, "digest").select("id", "url", "payload", "winner")
+    page = F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
+    raw = keyed(pages.select(id_col, url_col, payload_col)).select(*page, "_file", "_row")
+    later = revisits(raw)
+    raw = raw.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
+    both = bounded(raw).join(later, ["_file", "_row"], "left")
+    decided = both.select("id", "url", F.when(F.col("to_file").isNull(), F.col("payload")).alias("payload"), "size", "digest", "_file", "_row", "to_id", "to_file", "to_row")
 
     def write(batches):
-        part, n, files, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        kept(None)
+        part, files, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def file():
             info = record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:archive:{part}-{files}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{files:05d}.warc.gz"]), pa.array([info + b"".join(held)], pa.binary())], names=["name", "content"])
 
+        place = lambda file, row: f"{file & (1 << 64) - 1:016x}.{row}"
         for b in batches:
-            for page, url, payload, winner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                for r in page_records(page, url, payload.as_buffer().to_pybytes(), winner, f"{part}.{n}"):
+            others = zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7, 8, 9)))
+            for payload, (page, url, n, digest, at_file, at_row, to_id, to_file, to_row) in zip(b.column(2), others):
+                to = None if to_file is None else record_name(to_id, place(to_file, to_row))
+                body = payload.as_buffer().to_pybytes() if payload.is_valid else None
+                for r in page_records(page, place(at_file, at_row), url, body, n, base64.b32encode(bytes.fromhex(digest)).decode(), to):
                     held.append(r)
                     size += len(r)
-                n += 1
                 if size >= ARCHIVE:
                     yield file()
                     files, held, size = files + 1, [], 0
@@ -141,7 +169,7 @@ def _page(fields: dict[str, str], block: bytes) -> tuple:
     digest, page = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields.get("WARC-Page-ID")
     page = None if page is None else int(page)
     if fields["WARC-Type"] == "revisit":
-        return page, int(http["content-length"]), digest, "revisit", int(fields["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">"))
+        return page, int(http["content-length"]), digest, "revisit", int(fields["WARC-Refers-To"].removeprefix("<urn:page:").split(":")[0])
     payload = unchunked(body) if http.get("transfer-encoding") == "chunked" else body
     if payload_digest(payload) != digest:
         raise ValueError(f"the payload of page {page} does not have its digest")
@@ -155,6 +183,7 @@ def read_pages(files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the archives."""
 
     def take_apart(batches):
+        kept(None)
         for b in batches:
             for content in b.column(1):
                 out = []
@@ -174,7 +203,7 @@ def read_pages(files: DataFrame) -> DataFrame:
 
     names = ["origin", "number", "total", "about", "block", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    parts = files.select("name", "content").mapInArrow(take_apart, f"origin string, number long, total long, about string, block binary, {_PAGE}")
+    parts = bounded(files).select("name", "content").mapInArrow(take_apart, f"origin string, number long, total long, about string, block binary, {_PAGE}")
     ordered = parts.repartition("origin").sortWithinPartitions("origin", "number")
 
     def join(batches):
