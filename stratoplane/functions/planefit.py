@@ -82,3 +82,9 @@ def fitted(moment_rows: DataFrame, least: int = 3) -> DataFrame:
 def plane_fit(points: DataFrame, keys: list[str], weight: str | None = None, least: int = 3) -> DataFrame:
     """The least-squares plane of each key's points."""
     return fitted(moments(points, keys, weight), least)
+
+
+def unbiased(fits: DataFrame) -> DataFrame:
+    """fits with eigenvalues and error of the covariance over N - 1; NULL for a single point."""
+    f = F.col("n") / F.nullif(F.col("n") - 1, F.lit(0))
+    return fits.withColumns({**{c: F.col(c) * f for c in ("l0", "l1", "l2")}, "rmse": F.sqrt(F.greatest(F.lit(0.0), F.col("l0")) * f)})

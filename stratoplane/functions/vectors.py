@@ -124,20 +124,36 @@ def text_colour(text: Column) -> Vec:
 
 
 def golden_colour(i: Column) -> Vec:
-    """Red, green and blue around the colour wheel by the golden ratio, full value, keeping away from pure primaries."""
-    raw = F.pmod(i.cast("double") * 0.618033988749895, F.lit(1.0))
-    third = F.pmod(raw * 3.0, F.lit(1.0))
-    hue = F.when(third < 0.1, raw + 0.1 / 3).when(third > 0.9, raw - 0.1 / 3).otherwise(raw)
-    s, v = 0.65, 0.95
+    """Red, green and blue around the colour wheel by the golden ratio, at fixed saturation and value, cut to whole numbers; exact
+    primaries lose ten of each."""
+    # The step of hue, saturation and value of debug colours.
+    step, s, v = 0.61803398875, 0.65, 0.95
+    hue = F.pmod(i.cast("double") * step, F.lit(1.0))
     k = F.floor(hue * 6.0)
     f = hue * 6.0 - k
-    low, fall, rise = F.lit(v * (1 - s)), v * (1 - s * f), v * (1 - s * (1 - f))
-    top = F.lit(v)
-    turn = F.pmod(k, F.lit(6))
+    low, fall, rise, top = F.lit(v * (1.0 - s)), v * (1.0 - s * f), v * (1.0 - s * (1.0 - f)), F.lit(v)
     ways = [(top, rise, low), (fall, top, low), (low, top, rise), (low, fall, top), (rise, low, top), (top, low, fall)]
-    return tuple(byte(F.element_at(F.array(*(w[c] for w in ways)), (turn + 1).cast("int")) * 255.0) for c in range(3))
+    rgb = [F.floor(F.element_at(F.array(*(w[c] for w in ways)), (F.pmod(k, F.lit(6)) + 1).cast("int")) * 255.0).cast("int") for c in range(3)]
+    pure = ((rgb[0] == 255).cast("int") + (rgb[1] == 255).cast("int") + (rgb[2] == 255).cast("int") == 1) & (rgb[0] + rgb[1] + rgb[2] == 255)
+    return tuple(F.when(pure, F.greatest(F.lit(0), c - 10)).otherwise(c) for c in rgb)
 
 
 def byte(c: Column) -> Column:
     """Half-even rounding into 0 to 255."""
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(c))).cast("int")
+
+
+def valid_orientation(dip_deg: Column, direction_deg: Column) -> Column:
+    """Whether a dip (0 to 90) and a dip direction (0 up to 360) are there and in range."""
+    ok = lambda c: c.isNotNull() & ~F.isnan(c)
+    return ok(dip_deg) & ok(direction_deg) & dip_deg.between(0.0, 90.0) & (direction_deg >= 0.0) & (direction_deg < 360.0)
+
+
+def positive(c: Column) -> Column:
+    """Whether a measure is there, finite and above zero."""
+    return c.isNotNull() & ~F.isnan(c) & (c > 0.0) & (c < float("inf"))
+
+
+def compatible(plane: Vec, normal: Vec, least_cosine: float) -> Column:
+    """Whether a point's normal, of any length, agrees with a plane's unit normal up to its sign."""
+    return F.coalesce(F.abs(dot(plane, normal)) / F.nullif(length(normal), F.lit(0.0)) >= least_cosine, F.lit(False))

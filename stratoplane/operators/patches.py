@@ -207,3 +207,11 @@ def oriented(fits: DataFrame, points: DataFrame, key: str) -> DataFrame:
     f = fits.join(mean, key, "left")
     sign = F.when(dot(vec(*PLANE), vec("_nx", "_ny", "_nz")) < 0, -1.0).otherwise(1.0)
     return f.withColumns({c: F.col(c) * sign for c in (*PLANE, "d")}).drop("_nx", "_ny", "_nz")
+
+
+def united(parts: list[DataFrame], key: str, member: str) -> DataFrame:
+    """The members of all parts by key, each once, as a sorted array."""
+    every = parts[0].select(key, member)
+    for p in parts[1:]:
+        every = every.unionByName(p.select(key, member))
+    return every.distinct().groupBy(key).agg(F.sort_array(F.collect_list(member)).alias(member))

@@ -161,3 +161,19 @@ def mean_direction(values: DataFrame, column: str, keys: list[str] = ()) -> Data
     r = F.radians(column)
     a = F.degrees(F.atan2(F.sum(F.sin(r)), F.sum(F.cos(r))))
     return values.groupBy(*keys).agg(F.avg(column).alias("mean_dir_arith"), F.when(a < 0, a + 360.0).otherwise(a).alias("mean_dir_circular"), F.count(F.lit(1)).alias("n"))
+
+
+def largest(rows: DataFrame, size: str, ident: str, most: int) -> DataFrame:
+    """The ``most`` rows of largest size, ties to the smaller id, numbered from 0 as show_id."""
+    top = rows.orderBy(F.desc(size), ident).limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc(size), ident))  # over ``most`` rows
+    return top.withColumn("show_id", (place - 1).cast("long"))
+
+
+def quantile_edges(values: DataFrame, column: str, bins: int, least: float = 1e-12) -> DataFrame:
+    """k, edge: bins + 1 edges at equal shares of the values, each at least ``least`` above the one before. One row of quantiles is
+    all that is held at once."""
+    one = values.agg(F.percentile(column, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q"))
+    step = lambda done, x: F.concat(done, F.array(F.when((F.size(done) > 0) & (x <= F.element_at(done, -1)), F.element_at(done, -1) + F.lit(least)).otherwise(x)))
+    rising = F.aggregate("q", F.array().cast("array<double>"), step)
+    return one.select(F.posexplode(rising).alias("k", "edge"))

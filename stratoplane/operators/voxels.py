@@ -118,3 +118,19 @@ def split(blocks: DataFrame, keys: list[str], ratios: tuple[float, float, float]
     train, test = F.floor(F.col("_total") * ratios[0]), F.floor(F.col("_total") * ratios[2])
     name = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") > F.col("_total") - test, "test").otherwise("val")
     return ranked.withColumn("split", name).drop("_h", "_p", "_before", "_total", "_rank")
+
+
+def split_summary(blocks: DataFrame, size: str) -> DataFrame:
+    """Blocks and points of every split, and the mean, least and most points of a block."""
+    n = F.col(size)
+    return blocks.groupBy("split").agg(F.count(F.lit(1)).alias("blocks"), F.sum(n).alias("points"), F.avg(n).alias("mean_points"), F.min(n).alias("min_points"), F.max(n).alias("max_points"))
+
+
+def boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """n, centroid (avg_x, ...) and box (min_x, max_x, ...) by keys."""
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}_{c}") for c in "xyz" for name, f in (("avg", F.avg), ("min", F.min), ("max", F.max))))
+
+
+def voxel_name(*more: str) -> Column:
+    """A text that names a voxel (and what more columns say), different for different ones however large the grid is."""
+    return F.concat_ws("_", *(F.col(c).cast("string") for c in (*KEY, *more)))

@@ -66,7 +66,12 @@ def clipped_colors(spark, sf):
     return pts(spark, sf).select("point_id", *(V.byte(F.col(c) * 37.5).alias(n) for c, n in zip("xyz", "rgb")))
 
 
-@query()
+_WHEEL = """hue AS (SELECT DISTINCT user_id, (user_id * 0.61803398875e0) % 1e0 AS h FROM events), sec AS (SELECT *, floor(h * 6e0) AS k, h * 6e0 - floor(h * 6e0) AS f FROM hue),
+ leg AS (SELECT user_id, CAST(k AS INTEGER) % 6 AS k, 0.95e0 * (1e0 - 0.65e0) AS low, 0.95e0 * (1e0 - 0.65e0 * f) AS fall, 0.95e0 * (1e0 - 0.65e0 * (1e0 - f)) AS rise, 0.95e0 AS top FROM sec)"""
+_WAYS = {"r": "top fall low low rise top", "g": "rise top top fall low low", "b": "low low rise top top fall"}
+
+
+@query(f"WITH {_WHEEL} SELECT user_id, " + ", ".join(f"CAST(floor(255e0 * CASE k {' '.join(f'WHEN {i} THEN {w}' for i, w in enumerate(ways.split()))} END) AS INTEGER) AS {c}" for c, ways in _WAYS.items()) + " FROM leg")
 def golden_colors(spark, sf):
     red, green, blue = V.golden_colour(F.col("user_id"))
     return table(spark, sf, "events").select("user_id").distinct().select("user_id", red.alias("r"), green.alias("g"), blue.alias("b"))

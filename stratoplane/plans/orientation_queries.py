@@ -109,17 +109,19 @@ def _values(rows):
 _C = f"cen(k, mx, my, mz) AS (VALUES {_values(CENTRES)})"
 
 
-@query(f"""WITH RECURSIVE {_C}, sd(i, x, y, z) AS (VALUES {_values(SEEDS)}),
- acc(i, ids) AS (SELECT -1, CAST([] AS INTEGER[]) UNION ALL SELECT acc.i + 1, CASE WHEN
-   (SELECT min(degrees(acos(least(1e0, abs(s.x*mx + s.y*my + s.z*mz))))) FROM cen) > 1e1
-   AND coalesce((SELECT min(degrees(acos(least(1e0, abs(s.x*t.x + s.y*t.y + s.z*t.z))))) FROM sd t WHERE list_contains(acc.ids, t.i)), 1e3) > 1e1
+@query(f"""WITH RECURSIVE {ORIENT}, cen AS (SELECT nx AS mx, ny AS my, nz AS mz FROM orient WHERE disc_id < 4), sd AS (SELECT disc_id - 4 AS i, nx AS x, ny AS y, nz AS z FROM orient WHERE disc_id BETWEEN 4 AND 60),
+ acc(i, ids) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT acc.i + 1, CASE WHEN
+   (SELECT min(degrees(acos(least(1e0, abs(s.x*mx + s.y*my + s.z*mz))))) FROM cen) > 2e1
+   AND coalesce((SELECT min(degrees(acos(least(1e0, abs(s.x*t.x + s.y*t.y + s.z*t.z))))) FROM sd t WHERE list_contains(acc.ids, t.i)), 1e3) > 2e1
   THEN list_append(acc.ids, s.i) ELSE acc.ids END FROM acc JOIN sd s ON s.i = acc.i + 1)
- SELECT CAST(i AS INTEGER) AS seed, {q6('x')} AS nx, {q6('y')} AS ny, {q6('z')} AS nz FROM sd WHERE list_contains((SELECT max_by(ids, i) FROM acc), i)""")
+ SELECT CAST(i AS BIGINT) AS seed, {q6('x')} AS nx, {q6('y')} AS ny, {q6('z')} AS nz FROM sd WHERE list_contains((SELECT max_by(ids, i) FROM acc), i)""")
 def manual_seed_antijoin(spark, sf):
-    """The manual seeds that become centres of their own: farther than 10 degrees from all centres and earlier seeds."""
-    seeds = [_unit(s) for s in SEEDS]
-    kept = [c[:3] for c in O.with_seeds([_unit(c) for c in CENTRES], seeds, 10.0) if c[3]]
-    return spark.createDataFrame([(seeds.index(s), *s) for s in kept], "seed int, nx double, ny double, nz double").select("seed", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
+    """Seeds (the planes 4 to 60) that become centres of their own: farther than 20 degrees from the first four planes and from
+    earlier seeds. Seeds and centres are lists of a few rows by nature."""
+    o = orient(spark, sf).where("disc_id <= 60").orderBy("disc_id").select("disc_id", "nx", "ny", "nz").collect()
+    centres, seeds = ([(r["nx"], r["ny"], r["nz"]) for r in o if (r["disc_id"] < 4) == first] for first in (True, False))
+    kept = [c[:3] for c in O.with_seeds(centres, seeds, 20.0) if c[3]]
+    return spark.createDataFrame([(seeds.index(s), *s) for s in kept], "seed long, nx double, ny double, nz double").select("seed", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
 
 
 def centre_frame(spark):

@@ -60,11 +60,11 @@ def kde_1d(spark, sf):
     return k.select("i", r6("at").alias("at"), r6(F.col("density") * 1e3).alias("density"))
 
 
-@query(f"""WITH {_OD}, g AS (SELECT a * 10 AS dir, d * 10 AS dip0 FROM (SELECT unnest(range(36)) AS a), (SELECT unnest(range(10)) AS d)),
+@query(f"""WITH {_OD}, g AS (SELECT a * 2 AS dir, d AS dip0 FROM (SELECT unnest(range(180)) AS a), (SELECT unnest(range(91)) AS d)),
  s AS (SELECT dir, dip0, sum(exp(-(pow(cos(radians(dir)) - cos(radians(dip_dir)), 2) + pow(sin(radians(dir)) - sin(radians(dip_dir)), 2) + pow((dip0 - dip) / 90e0, 2)) / (2e0 * 0.22e0 * 0.22e0))) AS s FROM od, g GROUP BY dir, dip0)
  SELECT CAST(dir AS INTEGER) AS dir, CAST(dip0 AS INTEGER) AS dip, {q6('(s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())')} AS density FROM s""")
 def kde_sphere_grid(spark, sf):
-    return S.kde_sphere(with_dips(orient(spark, sf)), "dip_dir", "dip", 0.22, 10, 10).select("dir", "dip", r6("density").alias("density"))
+    return S.kde_sphere(with_dips(orient(spark, sf)), "dip_dir", "dip", 0.22, 2, 1).select("dir", "dip", r6("density").alias("density"))
 
 
 _PAIRS = f"""{ORIENT}, pr AS (SELECT a.disc_id AS i, b.disc_id AS j, a.label = b.label AS same_plane, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz AS dot, sqrt((a.nx-b.nx)*(a.nx-b.nx)+(a.ny-b.ny)*(a.ny-b.ny)+(a.nz-b.nz)*(a.nz-b.nz)) AS diff_norm
@@ -277,14 +277,17 @@ def points_table(spark, sf):
     return t.select(F.col("Curvature").cast("long").alias("point_id"), r6("X").alias("X"), F.col("Discontinuity_id").alias("disc"), F.col("Cluster_id").alias("clus"), F.col("DR").alias("dr"), r6("A_plane").alias("pa"), r6("D_plane").alias("pd"), r6("RMS").alias("rms"), r6("DistToPlane").alias("dist"))
 
 
-@query(f"""WITH {_SEG} SELECT CAST(fam AS BIGINT) AS disc, CAST(fam % 2 AS BIGINT) AS clus, {q6('degrees(atan2(sqrt(a*a+b*b), abs(c)))')} AS dip, n AS points, {q6('rmse')} AS mean_rms, 0e0 AS area FROM fit""")
+@query(f"""WITH {_SEG}, {_RING}, ar AS (SELECT a.fam, abs(sum(a.u * b.v - b.u * a.v)) / 2 AS area FROM rg a JOIN rg b ON a.fam = b.fam AND b.k = (a.k + 1) % 8 GROUP BY a.fam),
+ tr AS (SELECT a.fam, max(sqrt((a.u-b.u)*(a.u-b.u) + (a.v-b.v)*(a.v-b.v))) AS trace FROM rg a JOIN rg b ON a.fam = b.fam AND a.k < b.k GROUP BY a.fam)
+ SELECT CAST(fit.fam AS BIGINT) AS disc, CAST(fit.fam % 2 AS BIGINT) AS clus, {q6('degrees(atan2(sqrt(a*a+b*b), abs(c)))')} AS dip, n AS points, {q6('rmse')} AS mean_rms, {q6('area')} AS area, {q6('trace')} AS trace FROM fit JOIN ar USING (fam) JOIN tr USING (fam)""")
 def discontinuity_table(spark, sf):
     from ..sources.sinks import discontinuity_table as write
 
     p, segs, members = segment_tables(spark, sf)
-    none = spark.createDataFrame([], "disc_id long, area double, trace double")
-    t = write(members, segs, segs, none)
-    return t.select(F.col("Discontinuity_id").alias("disc"), F.col("Cluster_id").alias("clus"), r6("Dip").alias("dip"), F.col("PointsNumber").alias("points"), r6("MeanRMS").alias("mean_rms"), F.col("Area").alias("area"))
+    ring = rings(spark, sf)
+    geometry = polygons.areas(ring, "fam").join(polygons.diameters(ring, "fam"), "fam").select(F.col("fam").cast("long").alias("disc_id"), "area", "trace")
+    t = write(members, segs, segs, geometry)
+    return t.select(F.col("Discontinuity_id").alias("disc"), F.col("Cluster_id").alias("clus"), r6("Dip").alias("dip"), F.col("PointsNumber").alias("points"), r6("MeanRMS").alias("mean_rms"), r6("Area").alias("area"), r6("TraceLength").alias("trace"))
 
 
 @query(f"WITH RECURSIVE {PTS}, nb AS (SELECT a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 4e-2), deg AS (SELECT a, count(*) AS d FROM nb GROUP BY a) SELECT CAST(d >= 5 AS INTEGER) AS core, count(*) AS n FROM deg GROUP BY 1")
@@ -364,19 +367,28 @@ def curvature_search(spark, sf):
 
 @query()
 def moe_growth(spark, sf):
+    """Points of the planes that grow from the peaks of the votes, over coplanar voxels and octants and single points beside them."""
     from ..operators import hemisphere
-    from ..operators.neighbours import neighbour_voxels
-    from ..operators.voxels import KEY
-    from .point_queries import EPS, SA, moe_accumulator
-
-    v = vox(spark, sf)
-    name = F.col("vx") * 1000000 + F.col("vy") * 1000 + F.col("vz")
-    cop = hemisphere.coplanarity(v, SIZE, None, SA, EPS, 5).where("kind = 'cop'").withColumn("voxel", name)
-    near = neighbour_voxels(cop.select(*KEY)).select(name.alias("a"), (F.col("nx") * 1000000 + F.col("ny") * 1000 + F.col("nz")).alias("b"))
+    from ..operators.neighbours import face_neighbours
+    from ..operators.voxels import KEY, bounds, voxel_name
+    from .point_queries import moe_accumulator, moe_leaves
+
+    p = written(with_normals(spark, sf), "points")
+    keyed, low = voxels.with_voxels(p, SIZE), bounds(p)
+    leaves = written(moe_leaves(spark, sf).withColumn("leaf", voxel_name("octant")), "leaves")
+    own = hemisphere.leaf_points(keyed, SIZE, low, leaves).withColumn("leaf", voxel_name("octant"))
+    # A voxel is two cells wide, an octant one.
+    ends = {}
+    for k, c in enumerate("xyz"):
+        half = F.when(F.col("octant") < 0, F.lit(0)).otherwise(F.shiftright("octant", k).bitwiseAND(1))
+        ends |= {f"{c}0": 2 * F.col(f"v{c}") + half, f"{c}1": 2 * F.col(f"v{c}") + F.when(F.col("octant") < 0, 1).otherwise(half)}
+    beside = face_neighbours(leaves.withColumn("id", F.col("leaf")).withColumns(ends).select("id", *ends))
+    adjacency = beside.select("a", "b").unionByName(beside.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     top = hemisphere.peaks(moe_accumulator(spark, sf), 0.1)
-    n = V.normal_of(F.col("phi").cast("double"), F.col("theta").cast("double"))
-    peaks = top.select((F.col("phi") * 360 + F.col("theta")).alias("peak"), *(c.alias(m) for c, m in zip(n, ("mx", "my", "mz"))), "votes")
-    return growth.peak_growth(cop.select("voxel", "a", "b", "c"), near, peaks, 5.0, 10.0)
+    phi, theta = F.radians(F.col("phi").cast("double")), F.radians(F.col("theta").cast("double"))
+    m = {"mx": F.sin(phi) * F.cos(theta), "my": F.sin(phi) * F.sin(theta), "mz": F.cos(phi)}
+    peaks = top.withColumns(m).select((F.col("phi") * 360 + F.col("theta")).alias("peak"), *m, "votes")
+    return growth.leaf_growth(leaves, adjacency, own.select("point_id", "leaf", "x", "y", "z", "nx", "ny", "nz"), peaks, 5.0, 20.0, 20.0, 0.5)
 
 
 #: Edge patches, as in the reference's preset: the least points left for a search and in a patch, the limits of distance and angle.
@@ -393,7 +405,7 @@ def voxel_patch_pipeline(spark, sf):
     from ..operators.voxels import KEY
 
     p = written(voxels.with_voxels(with_normals(spark, sf), SIZE), "points")
-    name = F.col("vx") * 1000000 + F.col("vy") * 1000 + F.col("vz")
+    name = voxels.voxel_name()
     first = written(ransac.voxel_patches(p, 0.03, 30, 1000), "first-planes").where("patch >= 0").select("point_id", name.alias("seed"))
     found = p.join(first, "point_id")
     seeds = written(plane_fit(found, ["seed", *KEY]), "seeds")
@@ -402,7 +414,7 @@ def voxel_patch_pipeline(spark, sf):
     edge = written(rest.join(edges, "point_id"), "edge-points")
     fits = written(plane_fit(edge, [*KEY, "patch"]), "edge-fits")
     matched = patches.edge_matches(fits, seeds, edge, EDGE_DISTANCE, EDGE_ANGLE, ("patch",))
-    to = F.when(F.col("merge_reason") == "merged", F.col("nx") * 1000000 + F.col("ny") * 1000 + F.col("nz")).otherwise(name + (F.col("patch") + 1) * 10**13)  # after all seeds of voxels
+    to = F.when(F.col("merge_reason") == "merged", F.concat_ws("_", "nx", "ny", "nz")).otherwise(F.concat(F.lit("edge:"), voxels.voxel_name("patch")))  # after all seeds of voxels
     matched = written(matched.select(*KEY, "patch", to.alias("seed"), (F.col("merge_reason") != "merged").alias("new")), "edge-matches")
     new = fits.join(matched.where("new"), [*KEY, "patch"])
     s = seeds.select("seed", *KEY, *"abcd").unionByName(new.select("seed", *KEY, *"abcd"))

@@ -1,6 +1,6 @@
 """Queries on points, voxels, planes and neighbourhoods."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -8,6 +8,7 @@ from ..functions.planefit import plane_fit
 from ..operators import hemisphere, neighbours, patches, polygons, ransac, voxels
 from ..operators.statistics import curvature_weights
 from ..operators.voxels import KEY
+from ..shared_store import written
 from .fixtures import LEAST, PTS, SIZE, dip_sql, dir_sql, fit_sql, pts, q6, r6, vox, vox_sql
 
 QUERIES: dict = {}
@@ -148,13 +149,13 @@ def knn_join(spark, sf):
     return neighbours.knn_join(p, p, K).select("a_id", "b_id", r6(F.sqrt("d2")).alias("distance"), "rank")
 
 
-@query(f"""WITH {PTS}, r AS (SELECT event_id AS point_id, x + 3e-2 AS x, y - 2e-2 AS y, z FROM (SELECT event_id, p.x, p.y, p.z FROM events JOIN pts p ON p.point_id = events.event_id) WHERE (event_id // 4) % 2 = 0),
+@query(f"""WITH {PTS}, r AS (SELECT point_id, x + 3e-2 AS x, y - 2e-2 AS y, z FROM pts),
  near AS (SELECT a.point_id, min(ROW({D2}, b.point_id)) AS m FROM pts a, r b GROUP BY a.point_id)
  SELECT near.point_id, m[2] AS from_id, {q6('e.value')} AS curvature FROM near JOIN events e ON e.event_id = m[2]""")
 def nn1_curvature_map(spark, sf):
-    """Every point takes the curvature (value) of the nearest point of another cloud (every other four points, shifted)."""
+    """Every point takes the curvature (value) of the nearest point of another cloud (the same points, shifted)."""
     p = pts(spark, sf)
-    other = p.where("floor(point_id / 4) % 2 = 0").withColumns({"x": F.col("x") + 0.03, "y": F.col("y") - 0.02})
+    other = p.withColumns({"x": F.col("x") + 0.03, "y": F.col("y") - 0.02})
     near = neighbours.knn_join(p, other, 1).select(F.col("a_id").alias("point_id"), F.col("b_id").alias("from_id"))
     return near.join(other.select(F.col("point_id").alias("from_id"), "value"), "from_id").select("point_id", "from_id", r6("value").alias("curvature"))
 
@@ -172,27 +173,46 @@ def point_normals(p: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     return plane_fit(around, ["point_id"]).select("point_id", F.col("a").alias("nx"), F.col("b").alias("ny"), F.col("c").alias("nz"), F.when(F.col("a").isNull(), 0.0).otherwise(F.col("curvature")).alias("curvature"))
 
 
-SA, EPS = 10.0, 0.01
+SA, EPS, LEAST_OCTANT = 10.0, 0.01, 5
 
+_COP = f"coalesce(l1 > {SA} * l0 AND l0 < {EPS}, false)"
+_LEAVES = f"""{PTS}, {vox_sql()}, {fit_sql('vox', KEY)},
+ kinds AS (SELECT *, CASE WHEN n <= 5 THEN 'spa' WHEN {_COP} THEN 'cop' ELSE 'non' END AS kind FROM fit),
+ parted AS (SELECT v.*, {' + '.join(f'CASE WHEN v.{c} < v.l{c} + (v.v{c} + 0.5) * {SIZE} THEN 0 ELSE {1 << k} END' for k, c in enumerate('xyz'))} AS octant FROM vox v JOIN kinds USING (vx, vy, vz) WHERE kind = 'non'),
+ {fit_sql('parted', [*KEY, 'octant'], 'pf')},
+ leaves AS (SELECT vx, vy, vz, -1 AS octant, {SIZE} AS size, n, a, b, c, l0, l1, kind FROM kinds WHERE kind <> 'non'
+  UNION ALL SELECT vx, vy, vz, octant, {SIZE} / 2, n, a, b, c, l0, l1, CASE WHEN n <= {LEAST_OCTANT} THEN 'spa' WHEN {_COP} THEN 'cop' ELSE 'non' END FROM pf)"""
 
-@query(f"""WITH {PTS}, {vox_sql()}, {fit_sql('vox', KEY)} SELECT vx, vy, vz, n, CASE WHEN n <= 5 THEN 'spa' WHEN coalesce(l1 > {SA} * l0 AND l0 < {EPS}, false) THEN 'cop' ELSE 'non' END AS kind FROM fit""")
+
+@query(f"""WITH {PTS}, {vox_sql()}, {fit_sql('vox', KEY)} SELECT vx, vy, vz, n, CASE WHEN n <= 5 THEN 'spa' WHEN {_COP} THEN 'cop' ELSE 'non' END AS kind FROM fit""")
 def coplanarity_test(spark, sf):
-    return hemisphere.coplanarity(vox(spark, sf), SIZE, None, SA, EPS, 5).select(*KEY, "n", "kind")
+    return hemisphere.coplanarity(vox(spark, sf), SA, EPS, 5).select(*KEY, "n", "kind")
+
+
+def moe_leaves(spark, sf):
+    p = pts(spark, sf)
+    return hemisphere.two_levels(voxels.with_voxels(p, SIZE), SIZE, voxels.bounds(p), SA, EPS, 5, LEAST_OCTANT)
 
 
-_MOE = f"""{PTS}, {vox_sql()}, {fit_sql('vox', KEY)}, cop AS (SELECT *, {dip_sql()} AS dip, {dir_sql()} AS dip_dir, (SELECT count(*) FROM pts) AS total FROM fit WHERE n > 5 AND l1 > {SA} * l0 AND l0 < {EPS}),
- par AS (SELECT CAST(rint_dip AS INTEGER) AS p0, CAST(rint_dir AS INTEGER) % 360 AS t0, greatest(5e-1, 5e0 * {SA} / nullif(l1 / nullif(l0, 0e0), 0e0)) AS s, 5e-1 + 5e-1 * n / total AS w FROM (SELECT *, round_even(dip, 0) AS rint_dip, round_even(dip_dir, 0) AS rint_dir FROM cop)),
- rch AS (SELECT *, CAST(round_even(s, 0) AS INTEGER) AS h FROM par),
+@query(f"WITH {_LEAVES} SELECT vx, vy, vz, CAST(octant AS INTEGER) AS octant, CAST(size AS DOUBLE) AS size, n, kind FROM leaves")
+def two_level_voxels(spark, sf):
+    """Coplanar and sparse voxels, and the octants of the others with their own kinds."""
+    return moe_leaves(spark, sf).select(*KEY, F.col("octant").cast("int").alias("octant"), F.col("size").cast("double").alias("size"), "n", "kind")
+
+
+_AZIMUTH = "CASE WHEN abs(a) < 1e-12 AND abs(b) < 1e-12 THEN 0e0 WHEN degrees(atan2(b, a)) < 0 THEN degrees(atan2(b, a)) + 360e0 ELSE degrees(atan2(b, a)) END"
+_MOE = f"""{_LEAVES}, cloud AS (SELECT CAST(count(*) AS DOUBLE) AS total, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM pts),
+ par AS (SELECT least(90, CAST(round_even({dip_sql()}, 0) AS INTEGER)) AS p0, CAST(floor({_AZIMUTH}) AS INTEGER) % 360 AS t0, greatest(5e-1, 5e0 * {SA} / CASE WHEN l0 > 0 THEN l1 / l0 ELSE {SA} END) AS s, 5e-1 * size / extent + 5e-1 * n / total AS w FROM leaves, cloud WHERE kind = 'cop'),
+ rch AS (SELECT *, greatest(1, CAST(round_even(s, 0) AS INTEGER)) AS h FROM par),
  vp AS (SELECT *, unnest(range(-h, h + 1)) AS dp FROM rch), vt AS (SELECT *, unnest(range(-h, h + 1)) AS dt FROM vp),
- votes AS (SELECT CAST(p0 + dp AS INTEGER) AS phi, CAST((t0 + dt + 360000) % 360 AS INTEGER) AS theta, sum(w * exp(-(dp*dp + dt*dt) / (2e0*s*s)) / (2e0*pi()*s*s)) AS votes FROM vt WHERE p0 + dp BETWEEN 0 AND 90 GROUP BY 1, 2)"""
+ votes AS (SELECT CAST(p0 + dp AS INTEGER) AS phi, CAST((t0 + dt + 360) % 360 AS INTEGER) AS theta, sum(w * exp(-5e-1 * (dp*dp + dt*dt) / (s*s))) AS votes FROM vt WHERE p0 + dp BETWEEN 0 AND 90 GROUP BY 1, 2)"""
 
 
 def moe_accumulator(spark, sf):
     p = pts(spark, sf)
-    fits = hemisphere.coplanarity(voxels.with_voxels(p, SIZE), SIZE, None, SA, EPS, 5).where("kind = 'cop'")
-    n = V.vec("a", "b", "c")
-    fits = fits.withColumns({"dip": V.dip(n), "dip_dir": V.dip_direction(n)}).crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("total"))))
-    return hemisphere.votes(fits, SIZE, F.col("total"), SA)
+    sides = [F.max(c) - F.min(c) for c in "xyz"]
+    cloud = p.agg(F.count(F.lit(1)).cast("double").alias("total"), F.greatest(*sides).alias("extent"))
+    return hemisphere.votes(moe_leaves(spark, sf).crossJoin(F.broadcast(cloud)), SA, F.col("extent"), F.col("total"))  # one row
 
 
 @query(f"WITH {_MOE} SELECT phi, theta, {q6('votes')} AS votes FROM votes")
@@ -284,7 +304,7 @@ def patch_adjacency(spark, sf):
     return patches.patch_adjacency(vox(spark, sf).withColumn("patch", F.col("fam") * 1000 + F.col("vx") * 30 + F.col("vy")))
 
 
-_MERGE = f"""{PTS}, {vox_sql()}, {fit_sql('vox', KEY)}, pt AS (SELECT vx * 1000000 + vy * 1000 + vz AS patch, * FROM fit WHERE n >= {LEAST} AND a IS NOT NULL),
+_MERGE = f"""{PTS}, {vox_sql()}, {fit_sql('vox', KEY)}, pt AS (SELECT vx || '_' || vy || '_' || vz AS patch, * FROM fit WHERE n >= {LEAST} AND a IS NOT NULL),
  mg AS (SELECT p.patch AS p, q.patch AS q, degrees(acos(least(1e0, abs(p.a*q.a+p.b*q.b+p.c*q.c)))) AS ang, abs(p.a*q.cx+p.b*q.cy+p.c*q.cz+p.d) AS dst, sqrt((p.cx-q.cx)*(p.cx-q.cx)+(p.cy-q.cy)*(p.cy-q.cy)+(p.cz-q.cz)*(p.cz-q.cz)) AS gap
   FROM pt p JOIN pt q ON p.patch < q.patch AND abs(p.vx-q.vx) <= 1 AND abs(p.vy-q.vy) <= 1 AND abs(p.vz-q.vz) <= 1)"""
 
@@ -297,8 +317,8 @@ def patch_merge_decisions(spark, sf):
 
 def voxel_patch_pairs(spark, sf):
     v = vox(spark, sf)
-    patch = F.col("vx") * 1000000 + F.col("vy") * 1000 + F.col("vz")
-    f = plane_fit(v, KEY).where(f"n >= {LEAST} AND a IS NOT NULL").withColumn("patch", patch)
+    # Written once: the fits are met four times.
+    f = written(plane_fit(v, KEY).where(f"n >= {LEAST} AND a IS NOT NULL").withColumn("patch", voxels.voxel_name()), "patch-fits")
     near = patches.patch_adjacency(f)
     return f, near, patches.mergeable(f, near, 5.0, 0.5, SIZE)
 
@@ -325,19 +345,25 @@ def curvature_weight_table(spark, sf):
     return curvature_weights(pts(spark, sf), "value", 0.3, 0.05).select("point_id", r6("weight").alias("weight"))
 
 
-_CAND = """cand AS (SELECT k AS cand, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS px, b.y - a.y AS py, b.z - a.z AS pz, c.x - a.x AS qx, c.y - a.y AS qy, c.z - a.z AS qz
-  FROM (SELECT unnest(range(40)) AS k) JOIN pts a ON a.point_id = k * 20 % 900 + k % 4 JOIN pts b ON b.point_id = (k * 20 % 900) + 40 + k % 4 JOIN pts c ON c.point_id = (k * 20 % 900) + 80 + k % 4),
+_CAND = """hs AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY ((point_id % 1000003) * 48271 + 12345) % 2147483647, point_id) - 1 AS place FROM pts),
+ cand AS (SELECT a.fam * 10 + a.place // 3 AS cand, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS px, b.y - a.y AS py, b.z - a.z AS pz, c.x - a.x AS qx, c.y - a.y AS qy, c.z - a.z AS qz
+  FROM hs a JOIN hs b ON a.fam = b.fam AND b.place = a.place + 1 JOIN hs c ON a.fam = c.fam AND c.place = a.place + 2 WHERE a.place < 30 AND a.place % 3 = 0),
  cn AS (SELECT *, py*qz - pz*qy AS n1, pz*qx - px*qz AS n2, px*qy - py*qx AS n3 FROM cand), cl AS (SELECT *, sqrt(n1*n1+n2*n2+n3*n3) AS l FROM cn),
  planes AS (SELECT cand, n1/l AS a, n2/l AS b, n3/l AS c, -(n1/l*ax + n2/l*ay + n3/l*az) AS d FROM cl WHERE l >= 1e-8)"""
 
 
 def fixed_candidates(p: DataFrame) -> DataFrame:
-    """Forty triples of one family each, by arithmetic on their ids."""
-    k = p.sparkSession.range(40).select(F.col("id").alias("cand"))
-    at = F.col("cand") * 20 % 900 + F.col("cand") % 4
-    out = k
-    for name, shift in (("p", 0), ("q", 40), ("r", 80)):
-        out = out.join(p.select(F.col("point_id").alias(f"_{name}"), *(F.col(c).alias(f"{name}{c}") for c in "xyz")), F.col(f"_{name}") == at + shift)
+    """Ten triples of every family, by a hash over all of its points."""
+    few = None
+    for fam in range(4):
+        one = p.where(F.col("fam") == fam).orderBy(voxels.hash_order("point_id"), "point_id").limit(30).select("fam", "point_id", "x", "y", "z")
+        few = one if few is None else few.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("fam").orderBy(voxels.hash_order("point_id"), "point_id")) - 1  # of thirty rows
+    few = few.withColumn("place", place).withColumn("cand", (F.col("fam") * 10 + F.floor(F.col("place") / 3)).cast("long"))
+    out = None
+    for k, name in enumerate("pqr"):
+        one = few.where(F.col("place") % 3 == k).select("cand", *(F.col(c).alias(f"{name}{c}") for c in "xyz"))
+        out = one if out is None else out.join(one, "cand")
     n, d = V.plane_through(*(V.vec(*(f"{s}{c}" for c in "xyz")) for s in "pqr"))
     return out.select("cand", *(v.alias(c) for v, c in zip(n, "abc")), d.alias("d")).where("a IS NOT NULL")
 

@@ -12,6 +12,11 @@ def as_integer(text: Column) -> Column:
     return text.try_cast("double").cast("bigint")
 
 
+def base_name(path: Column) -> Column:
+    """A path's last part without its suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(.)\.[^.]*$", "$1")
+
+
 def set_points(rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Rows (X, Y, Z, js, cl, A, B, C, D, line number) with disc_id, dense by the first line of each (js, cl), and its colour."""
     keyed = rows.withColumns({"js": F.col("js").cast("bigint"), "cl": F.col("cl").cast("bigint")})

@@ -10,10 +10,12 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shared_store import written
+
 #: Scalar types of PLY headers and of LAS point formats.
 PLY_TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -276,12 +278,25 @@ def read_numbered_folder(spark: SparkSession, folder: str, pattern: str = r"disc
     return out.withColumn("disc_id", F.when(F.col("_n") == F.col("_last"), F.lit(-1)).otherwise(F.col("_n"))).drop("_n", "_last")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0 in each file), value of every line of text files, read by any number of tasks.
+
+    Lines are numbered within the blocks that Spark cuts a file into; a small table of the blocks' line counts shifts them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    # Written once: both passes must see the same blocks.
+    lines = written(lines, "lines")
+    blocks = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at")) - F.col("_n")  # one row for each block of a file
+    shifted = blocks.select(F.col("file").alias("_f"), F.col("_at").alias("_a"), "_first", before.alias("_before"))
+    both = lines.join(shifted, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a")))
+    return both.select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), "value")
+
+
 def read_spaced(spark: SparkSession, path: str, names: list[str], strict: bool = False) -> DataFrame:
     """White-space separated columns with line numbers by file; rows with too few or unreadable values are left out, or raise.
 
     Names must differ in more than case."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "v"))
-    cut = lines.select("line_no", F.split(F.trim("v"), r"\s+").alias("c"), "v").where("trim(v) <> ''")
+    cut = numbered_lines(spark, path).select("line_no", F.split(F.trim("value"), r"\s+").alias("c"), "value").where("trim(value) <> ''")
     good = F.size("c") >= len(names)
     values = [F.when(good, F.get("c", F.lit(k)).try_cast("double")).alias(n) for k, n in enumerate(names)]
     out = cut.select("line_no", *values)
@@ -289,3 +304,36 @@ def read_spaced(spark: SparkSession, path: str, names: list[str], strict: bool =
     if strict and out.where(bad).limit(1).count():
         raise ValueError(f"{path} has unreadable rows")
     return out.where(~bad)
+
+
+def valid_row_counts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """file_name and n_rows: lines of each file that are not blank, without its header."""
+    lines = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"), "value").where(F.trim("value") != "")
+    return lines.groupBy("file_name").agg((F.count(F.lit(1)) - int(header)).alias("n_rows"))
+
+
+#: Names of the canonical point table as Spark can tell them apart; files have A, B, C, D, RMS for the plane.
+CANONICAL = {
+    "X": "double", "Y": "double", "Z": "double", "nx": "double", "ny": "double", "nz": "double", "R": "int", "G": "int", "B": "int", "DR": "int", "DG": "int", "DB": "int",
+    "Discontinuity_id": "int", "Cluster_id": "int", "Segment_id": "int", "A_plane": "double", "B_plane": "double", "C_plane": "double", "D_plane": "double",
+    "RMS": "double", "Curvature": "double", "DistToPlane": "double",
+}
+
+
+def read_canonical(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The canonical point table from CSV with its fixed schema; only the columns asked for are parsed."""
+    schema = ", ".join(f"`{c}` {k}" for c, k in CANONICAL.items())
+    # The header names two columns B: it is left out by what it says, not matched by name.
+    body = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).where("X IS NOT NULL")
+    return body.select(*(columns or CANONICAL))
+
+
+def by_alias(points: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """points with columns renamed to the first alias that is there, in any case; raises for a name without one."""
+    have = {c.lower(): c for c in points.columns}
+    for name, ways in aliases.items():
+        found = next((have[w.lower()] for w in [name, *ways] if w.lower() in have), None)
+        if found is None:
+            raise ValueError(f"no column for {name}; known: {', '.join([name, *ways])}")
+        points = points.withColumnRenamed(found, name)
+    return points

@@ -4,15 +4,20 @@ Tables are written by Spark's writers. A PLY file is one ordered text: its heade
 is a range-ordered text output, so that no task holds a cloud.
 """
 
+import io
 import json
+import struct
 import uuid
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dip, dip_direction, id_colour, plane_distance, vec
 from ..operators.voxels import KEY
+from ..shared_store import written
 
 
 def point_table(members: DataFrame, points: DataFrame, segments: DataFrame) -> DataFrame:
@@ -60,14 +65,104 @@ def _line(columns: list[Column]) -> Column:
     return F.concat_ws(" ", *(c.cast("string") for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, header: str | None = None) -> None:
-    if header:
-        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-        spark = df.sparkSession
-        spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("append").text(path)
-        df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value")).write.mode("append").text(path)
+def csv_lines(df: DataFrame) -> Column:
+    """A row as a CSV line; text with commas, quotes or line breaks is quoted, NULL is empty."""
+    def field(c: str, kind: str) -> Column:
+        v = F.col(c).cast("string")
+        if kind == "string":
+            v = F.when(v.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        return F.coalesce(v, F.lit(""))
+
+    return F.concat_ws(",", *(field(f"`{c}`", k) for c, k in df.dtypes))
+
+
+def write_csv(df: DataFrame, path: str, header: str | None = None, order: list[str] = ()) -> None:
+    """A folder of CSV parts that are one file in the order of their names: the header line, which may have names that Spark does not
+    allow, and the rows by ``order``. What was there is replaced."""
+    names = header or ",".join(df.columns)
+    body = df.withColumn("_line", csv_lines(df))
+    keys = [F.col(c) for c in order]
+    head = df.sparkSession.range(1).select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order), F.lit(names).alias("_line"), F.lit(0).alias("_part"))
+    every = head.unionByName(body.select(*order, "_line", F.lit(1).alias("_part")))
+    every.orderBy("_part", *keys).select("_line").write.mode("overwrite").text(path)
+
+
+def created(path: str):
+    """An output stream on a path or address; what was there is replaced."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     else:
-        df.write.mode("overwrite").option("header", "true").csv(path)
+        store, inner = fs.LocalFileSystem(), path
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(inner)
+
+
+#: Struct codes and PLY names of Spark types in binary files.
+_BINARY_OF = {"float": ("f", "float"), "double": ("d", "double"), "int": ("i", "int"), "bigint": ("i", "int"), "smallint": ("h", "short"), "tinyint": ("b", "char")}
+
+
+def write_group_files(df: DataFrame, key: str, order: str, folder: str, pattern: str, columns: list[str], form: str = "csv", header: str | None = None) -> DataFrame:
+    """One file for each value of the integer column ``key``, rows in ``order``: CSV, ASCII PLY or binary little-endian PLY. Returns a
+    table of file names and rows.
+
+    pattern is a name such as ``discontinuity_%06d.csv``. A file is one stream of one task that never holds more than a batch; tasks
+    that run again write the same file anew. Bytes of 0 to 255 named red, green or blue are uchar in PLY."""
+    kinds, uchar = dict(df.dtypes), {"red", "green", "blue"}
+    counted = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    rows = df.select(key, order, *(F.col(c).alias(f"_c{k}") for k, c in enumerate(columns))).join(counted, key)
+    line = F.concat_ws("," if form == "csv" else " ", *(F.coalesce(F.col(f"_c{k}").cast("string"), F.lit("")) for k in range(len(columns))))
+    if form != "binary":
+        rows = rows.select(key, order, "_n", line.alias("_line"))
+    codes = "<" + "".join("B" if c in uchar else _BINARY_OF[kinds[c]][0] for c in columns) if form == "binary" else ""
+    props = [f"property {'uchar' if c in uchar else _BINARY_OF.get(kinds[c], ('', 'float'))[1]} {c}" for c in columns]
+    names = header or ",".join(columns)
+
+    def head(n: int) -> bytes:
+        if form == "csv":
+            return (names + "\n").encode()
+        return "\n".join(["ply", f"format {'ascii' if form == 'ply' else 'binary_little_endian'} 1.0", f"element vertex {n}", *props, "end_header\n"]).encode()
+
+    def write(batches):
+        now, stream, done = None, None, []
+        for b in batches:
+            keys, n = b.column(0).to_pylist(), b.column(2).to_pylist()
+            values = [b.column(k).to_pylist() for k in range(3, b.num_columns)]
+            for i, k in enumerate(keys):
+                if stream is None or k != now:
+                    if stream is not None:
+                        stream.close()
+                    now, stream = k, created(f"{folder}/{pattern % k}")
+                    stream.write(head(n[i]))
+                    done.append((pattern % k, n[i]))
+                stream.write(struct.pack(codes, *(v[i] for v in values)) if form == "binary" else (values[0][i] + "\n").encode())
+        if stream is not None:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file_name", "num_points"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    first = [key, order, "_n"]
+    return written(dealt.select(*first, *(c for c in dealt.columns if c not in first)).mapInArrow(write, "file_name string, num_points long"), "files")
+
+
+def write_npy_samples(df: DataFrame, keys: list[str], order: str, folder: str, arrays: dict[str, list[str]]) -> DataFrame:
+    """Sample folders for training: for each group a folder named by its keys with one .npy file for each array of columns, rows in
+    ``order``. Groups are tiles with a bounded number of points. Returns folder names and rows."""
+    need = sorted({c for cs in arrays.values() for c in cs})
+
+    def write(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by(order)
+        name = "_".join(str(group.column(k)[0].as_py()) for k in keys)
+        for array, columns in arrays.items():
+            out = io.BytesIO()
+            whole = np.stack([group.column(c).to_numpy() for c in columns], axis=1)
+            np.save(out, whole[:, 0] if len(columns) == 1 else whole.astype(np.float32))
+            with created(f"{folder}/{name}/{array}.npy") as stream:
+                stream.write(out.getvalue())
+        return pa.table({"sample": [name], "num_points": [len(group)]})
+
+    return written(df.select(*keys, order, *(c for c in need if c not in (*keys, order))).groupBy(*keys).applyInArrow(write, "sample string, num_points long"), "samples")
 
 
 #: PLY names of Spark types.

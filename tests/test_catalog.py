@@ -24,11 +24,7 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=2e-6)
 
 
-#: Needs more points than the smallest tables have.
-FAST = [q for q in sorted(catalog.ORACLES) if q not in ("ransac_score_candidates", "ransac_best_plane")]
-
-
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, duck, name):
     same(catalog.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(catalog.ORACLES[name]).df())
 
