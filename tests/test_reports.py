@@ -34,8 +34,8 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
 
 
 def test_group_files(spark, tmp_path):
-    p = spark.range(40).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") / 2).alias("x"), (F.col("id") % 256).cast("int").alias("red"))
-    names = {r["file_name"]: r["num_points"] for r in sinks.write_group_files(p, "g", "id", str(tmp_path / "f"), "g_%02d.ply", ["x", "red"], "binary").collect()}
+    p = spark.range(40).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") / 2).alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z"), (F.col("id") % 256).cast("int").alias("red"))
+    names = {r["file_name"]: r["num_points"] for r in sinks.write_group_files(p, "g", "id", str(tmp_path / "f"), "g_%02d.ply", ["x", "y", "z", "red"], "binary").collect()}
     assert names == {"g_00.ply": 14, "g_01.ply": 13, "g_02.ply": 13}
     back = pointfiles.read_points(spark, str(tmp_path / "f" / "g_01.ply")).orderBy("point_id").collect()
     assert [(r["x"], r["red"]) for r in back] == [(k / 2, k) for k in range(1, 40, 3)]
