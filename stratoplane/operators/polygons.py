@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,53 @@ def triangle_fan(corners: DataFrame, key: str) -> DataFrame:
     return corners.select(key, "k", F.lit(0).cast("long").alias("v0"), (F.col("k") + 1).alias("v1"), (F.pmod(F.col("k") + 1, n) + 1).alias("v2"))
 
 
+def largest_cells(cells: np.ndarray) -> np.ndarray:
+    """Of distinct grid cells (rows i, j) those of the largest part that touches by sides or corners; ties to the part met first."""
+    place = {tuple(c): n for n, c in enumerate(cells.tolist())}
+    part, best, size = np.full(len(cells), -1), -1, 0
+    for n in range(len(cells)):
+        if part[n] >= 0:
+            continue
+        part[n], todo, count = n, [n], 0
+        while todo:
+            i, j = cells[todo.pop()].tolist()
+            count += 1
+            for near in ((i + di, j + dj) for di in (-1, 0, 1) for dj in (-1, 0, 1)):
+                m = place.get(near)
+                if m is not None and part[m] < 0:
+                    part[m] = n
+                    todo.append(m)
+        if count > size:
+            best, size = n, count
+    return cells[part == best]
+
+
+def hull_filter(points: DataFrame, key: str, fits: DataFrame, cell: float) -> DataFrame:
+    """The points of each key that lie inside the convex hull of its plane's largest connected part of grid cells, as (key, point_id).
+
+    A key's points are one voxel's or one patch's of bounded size; keys without three cells apart keep the cells' own points."""
+    kind = dict(points.dtypes)[key]
+
+    def keep(rows: pa.Table) -> pa.Table:
+        uv = np.stack([rows.column(c).to_numpy() for c in "uv"], axis=1)
+        at = np.floor(uv / cell).astype(np.int64)
+        cells, inverse = np.unique(at, axis=0, return_inverse=True)
+        main = largest_cells(cells)
+        centres = (main + 0.5) * cell
+        corners = centres[hull_numpy(centres)]
+        if len(corners) < 3:
+            own = {tuple(c) for c in main.tolist()}
+            inside = np.array([tuple(c) in own for c in cells.tolist()])[inverse.reshape(-1)]
+        else:
+            step = np.roll(corners, -1, axis=0) - corners
+            off = uv[:, None, :] - corners[None]
+            inside = (step[None, :, 0] * off[:, :, 1] - step[None, :, 1] * off[:, :, 0] >= -1e-12).all(axis=1)
+        return rows.select([key, "point_id"]).filter(pa.array(inside))
+
+    flat = plane_coordinates(points, key, fits).select(key, "point_id", "u", "v")
+    return flat.groupBy(key).applyInArrow(keep, f"`{key}` {kind}, point_id {dict(points.dtypes)['point_id']}")
+
+
 def patch_geometry(points: DataFrame, key: str) -> DataFrame:
     """key, points, area, trace and mean width of each key's points: fit, hull and its measures."""
     fits = plane_fit(points, [key]).where("a IS NOT NULL")

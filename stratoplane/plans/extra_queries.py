@@ -77,6 +77,11 @@ def golden_colors(spark, sf):
     return table(spark, sf, "events").select("user_id").distinct().select("user_id", red.alias("r"), green.alias("g"), blue.alias("b"))
 
 
+@query()
+def seeded_colors(spark, sf):
+    return converters.seeded_colours(table(spark, sf, "events").select("user_id").distinct(), "user_id")
+
+
 _BOX = "bx AS (SELECT DISTINCT CAST(floor((x + 5) / 2.5) AS BIGINT) AS i, CAST(floor((y + 5) / 2.5) AS BIGINT) AS j, CAST(fam AS BIGINT) AS k FROM pts)"
 _BOXES = f"{_BOX}, b2 AS (SELECT i * 1000 + j * 10 + k AS id, 2*i AS x0, 2*i + 1 AS x1, 2*j AS y0, 2*j + 1 + (i % 2) AS y1, k AS z0, k AS z1 FROM bx)"
 

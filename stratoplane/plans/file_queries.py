@@ -9,7 +9,7 @@ from ..operators import voxels
 from ..shared_store import shared_folder
 from ..sources import pointfiles, sinks
 from .fixtures import PTS, fit_sql, pts, q6, r6, vox, vox_sql
-from .plot_queries import _H1, _TL, tiled
+from .plot_queries import _H1, _RING, _SEG, _TL, rings, segment_tables, tiled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,55 @@ def voxel_folders(spark, sf):
     back = spark.read.parquet(at).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("num_points"))
     name = F.concat_ws("_", F.lit("voxel"), "vx", "vy", "vz")
     return back.select(*(F.col(c).cast("long").alias(c) for c in ("vx", "vy", "vz")), "num_points", name.alias("file_name"))
+
+
+def corners_of(spark, sf):
+    return rings(spark, sf).select(F.col("fam").cast("long").alias("disc_id"), "k", F.col("u").alias("x"), F.col("v").alias("y"), F.col("fam").cast("double").alias("z"))
+
+
+@query(f"""WITH {_RING}, o AS (SELECT fam, dense_rank() OVER (ORDER BY fam) - 1 AS p, k FROM rg)
+ SELECT 'face' AS kind, CAST(9 * p + 1 + k AS BIGINT) AS v1, CAST(9 * p + 1 + (k + 1) % 8 AS BIGINT) AS v2, CAST(9 * p AS BIGINT) AS v0 FROM o
+ UNION ALL SELECT 'edge', 9 * p + 1 + k, 9 * p + 1 + (k + 1) % 8, NULL FROM o""")
+def polygon_mesh(spark, sf):
+    """Faces and edges of the polygons' PLY as its lines say."""
+    at = folder(spark, "polygons")
+    sinks.write_ply(sinks.polygon_ply(corners_of(spark, sf), "disc_id"), at)
+    number = F.transform(F.split("value", " "), lambda x: x.try_cast("long"))
+    lines = spark.read.text(at).where("value RLIKE '^[0-9]+( [0-9]+)+$'").select(number.alias("v"))
+    face = F.size("v") == 4
+    return lines.select(F.when(face, "face").otherwise("edge").alias("kind"), F.when(face, F.col("v")[2]).otherwise(F.col("v")[0]).alias("v1"), F.when(face, F.col("v")[3]).otherwise(F.col("v")[1]).alias("v2"), F.when(face, F.col("v")[1]).alias("v0"))
+
+
+@query(f"""WITH {_SEG}, c AS (SELECT fam, count(*) AS n FROM pts GROUP BY fam)
+ SELECT 'points' AS file, count(*) AS n FROM pts UNION ALL SELECT 'discontinuities', count(*) FROM c UNION ALL SELECT 'clusters', 2 UNION ALL SELECT 'polygons', count(*) * 8 FROM c
+ UNION ALL SELECT printf('discontinuity_%06d.csv', fam), n FROM c UNION ALL SELECT printf('discontinuity_%06d.ply', fam), n FROM c UNION ALL SELECT 'parameters', 1""")
+def exported_run(spark, sf):
+    """Rows of every file that the export of a run has left."""
+    p, segments, members = segment_tables(spark, sf)
+    p = p.withColumn("curvature", F.col("value"))
+    ring = rings(spark, sf)
+    from ..operators import polygons
+
+    geometry = polygons.areas(ring, "fam").join(polygons.diameters(ring, "fam"), "fam").select(F.col("fam").cast("long").alias("disc_id"), "area", "trace")
+    centres = spark.range(2).select(F.col("id").alias("k"), F.lit(0.0).alias("mx"), F.lit(0.6).alias("my"), F.lit(0.8).alias("mz"), F.lit(2).alias("members"), F.lit(0.9).alias("confidence"), F.lit(False).alias("is_manual_seed"))
+    at = sinks.export_run(folder(spark, "runs"), "rock", members, p, segments, segments, geometry, centres, corners_of(spark, sf), {"size": 2.0})
+    count = lambda df, name: df.select(F.lit(name).alias("file"), F.lit(1).alias("one")).groupBy("file").agg(F.count("one").alias("n"))
+    out = count(pointfiles.read_canonical(spark, f"{at}/rock_points.csv", ["X"]), "points")
+    for name in ("discontinuities", "clusters"):
+        out = out.unionByName(count(spark.read.option("header", "true").csv(f"{at}/rock_{name}.csv"), name))
+    out = out.unionByName(count(spark.read.text(f"{at}/rock_polygons.ply").where("value RLIKE '^3 [0-9]+ [0-9]+ [0-9]+$'"), "polygons"))
+    files = pointfiles.valid_row_counts(spark, f"{at}/discontinuities/*.csv").select(F.col("file_name").alias("file"), F.col("n_rows").alias("n"))
+    meshes = spark.read.text(f"{at}/discontinuities/*.ply").where("value RLIKE '^[-0-9]'").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(files).unionByName(meshes).unionByName(count(spark.read.text(f"{at}/parameters"), "parameters"))
+
+
+@query(f"WITH {PTS} SELECT {_XYZ}, CAST(user_id AS DOUBLE) AS intensity FROM pts")
+def pcd_cloud(spark, sf):
+    """An ASCII point file with a header of fields."""
+    at = folder(spark, "cloud")
+    p = pts(spark, sf)
+    head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS x y z intensity", "SIZE 8 8 8 8", "TYPE F F F F", "COUNT 1 1 1 1", f"WIDTH {p.count()}", "HEIGHT 1", "DATA ascii"]
+    body = p.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"), F.col("user_id").cast("string")).alias("value"), F.lit(1).alias("part"))
+    whole = spark.createDataFrame([(h, 0) for h in head], "value string, part int").unionByName(body)
+    whole.coalesce(1).sortWithinPartitions("part").select("value").write.text(at + ".pcd")
+    return pointfiles.read_points(spark, at + ".pcd").select(*xyz(), "intensity")

@@ -343,6 +343,14 @@ def convex_hull(spark, sf):
     return polygons.hulls(polygons.plane_coordinates(p, "fam", plane_fit(p, ["fam"])), "fam").select("fam", "k", r6("u").alias("u"), r6("v").alias("v"))
 
 
+@query()
+def hull_filtered_points(spark, sf):
+    """Points of every family inside the hull of its plane's largest part, and the plane fitted to them again."""
+    p = pts(spark, sf).select("point_id", "fam", "x", "y", "z")
+    kept = written(polygons.hull_filter(p, "fam", plane_fit(p, ["fam"]), 1.0), "hull-points")
+    return plane_fit(p.join(kept, ["fam", "point_id"]), ["fam"]).select("fam", "n", *(r6(c).alias(c) for c in "abcd"))
+
+
 @query()
 def patch_geometry(spark, sf):
     g = polygons.patch_geometry(pts(spark, sf), "fam")

@@ -1,5 +1,7 @@
 """Conversions of foreign tables to the canonical ones: set exports, facet exports, validation of labelled clouds."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(.)\.[^.]*$", "$1")
 
 
+def seeded_colours(rows: DataFrame, ident: str, low: int = 0, high: int = 256, shift: int = 12345) -> DataFrame:
+    """rows with dr, dg, db drawn by numpy's default generator seeded with the id plus ``shift``: the same for an id everywhere."""
+    ids = rows.select(F.col(ident).cast("long").alias(ident)).where(F.col(ident).isNotNull()).distinct()
+
+    def draw(batches):
+        for b in batches:
+            found = np.array([np.random.default_rng(k + shift).integers(low, high, size=3) for k in b.column(0).to_pylist()], np.int32).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(3))], names=[ident, "dr", "dg", "db"])
+
+    return rows.join(ids.mapInArrow(draw, f"`{ident}` long, dr int, dg int, db int"), ident, "left")
+
+
 def set_points(rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Rows (X, Y, Z, js, cl, A, B, C, D, line number) with disc_id, dense by the first line of each (js, cl), and its colour."""
     keyed = rows.withColumns({"js": F.col("js").cast("bigint"), "cl": F.col("cl").cast("bigint")})

@@ -231,14 +231,27 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(at(k).alias(names[k]) for k in range(n)))
 
 
+def read_pcd(spark: SparkSession, path: str) -> DataFrame:
+    """An ASCII PCD file: the columns that its FIELDS line names, as doubles; any number of tasks read its rows."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v"))
+    head = {r["v"].split(" ", 1)[0].upper(): r["v"] for r in lines.where("v RLIKE '^(FIELDS|DATA|fields|data) '").limit(4).collect()}
+    if "FIELDS" not in head or head.get("DATA", "").split()[-1:] != ["ascii"]:
+        raise ValueError(f"{path} is not an ASCII PCD file")
+    names = head["FIELDS"].split()[1:]
+    rows = lines.where("v RLIKE '^[-+.0-9nN]'").select(F.split("v", r"\s+").alias("c"))
+    return rows.select(*(F.get("c", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names)))
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """A cloud by its suffix: .ply, .las, .xyz, .txt, .csv (with or without a header)."""
+    """A cloud by its suffix: .ply, .las, .pcd (ASCII), .xyz, .txt, .csv (with or without a header)."""
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix in ("ply", "las", "laz"):
         register(spark)
         return spark.read.format("ply" if suffix == "ply" else "las").load(path)
     if suffix in ("xyz", "txt"):
         return read_xyz(spark, path)
+    if suffix == "pcd":
+        return read_pcd(spark, path)
     if suffix == "csv":
         head = spark.read.text(path).first()
         if head and any(ch.isalpha() for ch in head[0]):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dip, dip_direction, id_colour, plane_distance, vec
+from ..operators.orientation_clusters import ranked
 from ..operators.voxels import KEY
 from ..shared_store import written
 
@@ -191,6 +192,38 @@ def write_ply(text: DataFrame, path: str) -> None:
     text.orderBy("part", "at").select("value").write.mode("overwrite").text(path)
 
 
+def polygon_ply(corners: DataFrame, key: str) -> DataFrame:
+    """The lines of a PLY of polygons from their corners (key, k, x, y, z): for each polygon its centroid and its corners, a fan of
+    triangles around the centroid, and the closed boundary as edges. Corners number some hundred a polygon."""
+    centre = corners.groupBy(key).agg(*(F.avg(c).alias(c) for c in "xyz")).withColumn("k", F.lit(-1).cast("long"))
+    points = centre.select(key, "k", *"xyz").unionByName(corners.select(key, F.col("k").cast("long").alias("k"), *"xyz"))
+    placed = written(ranked(points, [F.col(key), F.col("k")], key, "_place").withColumn("at", F.col("_place") - 1), "polygon-vertices")
+    size = corners.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    first = placed.where("k = -1").select(key, F.col("at").alias("_c")).join(size, key)
+    ring = placed.where("k >= 0").select(key, "k").join(first, key)
+    v1, v2 = F.col("_c") + 1 + F.col("k"), F.col("_c") + 1 + F.pmod(F.col("k") + 1, F.col("_n"))
+    sides = ring.select(F.col("_c").alias("v0"), v1.alias("v1"), v2.alias("v2"))
+    return ply_text(placed, "at", ["x", "y", "z"], faces=sides, edges=sides.select("v1", "v2"))
+
+
+def export_run(folder: str, name: str, members: DataFrame, points: DataFrame, segments: DataFrame, planes: DataFrame, geometry: DataFrame, centres: DataFrame, corners: DataFrame, settings=None) -> str:
+    """All files of a run below folder/<stamp>_<name>: the point, discontinuity and cluster tables as CSV with their own headers,
+    the polygons as PLY, a CSV and a PLY of the points of each discontinuity, and the settings as JSON. Gives the folder."""
+    at = f"{folder.rstrip('/')}/{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:6]}_{name}"
+    table = written(point_table(members, points, segments), "point-table")
+    write_csv(table, f"{at}/{name}_points.csv", POINT_HEADER, ["Discontinuity_id", "X", "Y", "Z"])
+    write_csv(discontinuity_table(members, segments, planes, geometry), f"{at}/{name}_discontinuities.csv", order=["Discontinuity_id"])
+    write_csv(cluster_table(centres), f"{at}/{name}_clusters.csv", order=["Cluster_id"])
+    write_ply(polygon_ply(corners, "disc_id"), f"{at}/{name}_polygons.ply")
+    own = table.select(*"XYZ", "nx", "ny", "nz", F.col("DR").alias("red"), F.col("DG").alias("green"), F.col("DB").alias("blue"), F.col("Discontinuity_id").cast("long").alias("disc"))
+    own = own.withColumns({c.lower(): F.col(c) for c in "XYZ"}).withColumn("_order", F.xxhash64(*"xyz"))
+    columns = ["x", "y", "z", "nx", "ny", "nz", "red", "green", "blue"]
+    for form, suffix in (("csv", "csv"), ("ply", "ply")):
+        write_group_files(own.select("disc", "_order", *columns).fillna(0.0, ["nx", "ny", "nz"]), "disc", "_order", f"{at}/discontinuities", f"discontinuity_%06d.{suffix}", columns, form)
+    write_parameters(members.sparkSession, settings or {}, f"{at}/parameters")
+    return at
+
+
 def write_voxels(keyed: DataFrame, path: str) -> None:
     """A folder of Parquet files partitioned by voxel."""
     keyed.repartition(*KEY).write.mode("overwrite").partitionBy(*KEY).parquet(path)

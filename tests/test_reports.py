@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratoplane.operators import growth, neighbours, statistics, voxels
+from stratoplane.operators import growth, neighbours, polygons, statistics, voxels
 from stratoplane.shared_store import release, shared_folder, written
-from stratoplane.sources import pointfiles, sinks
+from stratoplane.sources import converters, pointfiles, sinks
 
 
 def test_csv_header_comes_first_and_text_is_quoted(spark, tmp_path):
@@ -86,6 +86,20 @@ def test_growth_over_leaves_takes_single_points(spark):
     assert got == {1: 0, 2: 0, 3: 0, 6: 90}
 
 
+def test_hull_filter_keeps_the_largest_part(spark):
+    g = [(0.5 + i, 0.5 + j) for i in range(6) for j in range(4)]
+    rows = [(n, 0, x, y, 0.0) for n, (x, y) in enumerate(g)] + [(100 + n, 0, 40.5 + n, 0.5, 0.0) for n in range(5)] + [(200, 0, 3.01, 2.02, 0.0)]
+    p = spark.createDataFrame(rows, "point_id long, key int, x double, y double, z double")
+    fits = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)], "key int, a double, b double, c double, d double, cx double, cy double, cz double")
+    got = {r["point_id"] for r in polygons.hull_filter(p, "key", fits, 1.0).collect()}
+    assert got == {*range(24), 200}
+
+
+def test_seeded_colours_are_the_generators(spark):
+    got = {r["k"]: (r["dr"], r["dg"], r["db"]) for r in converters.seeded_colours(spark.createDataFrame([(1,), (1,), (7,), (None,)], "k long"), "k").collect()}
+    assert got == {None: (None, None, None), **{k: tuple(int(v) for v in np.random.default_rng(k + 12345).integers(0, 256, 3)) for k in (1, 7)}}
+
+
 def test_quantile_edges_rise(spark):
     v = spark.createDataFrame([(float(x),) for x in [0, 0, 0, 0, 1, 1, 2, 9]], "v double")
     edges = [r["edge"] for r in statistics.quantile_edges(v, "v", 8).orderBy("k").collect()]
