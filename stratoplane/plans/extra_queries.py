@@ -108,7 +108,10 @@ def header_alias_projection(spark, sf):
     return converters.set_points(e).select(F.col("line_no").alias("point_id"), F.col("disc_id").cast("long").alias("disc_id"), F.col("DR").alias("dr"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, lc(n, x) AS (SELECT 0, CAST((1 * 48271 + 11) % 2147483647 AS BIGINT) UNION ALL SELECT n + 1, (x * 48271 + 11) % 2147483647 FROM lc WHERE n < 999),
+ sm AS (SELECT * FROM (SELECT point_id, row_number() OVER (ORDER BY h, point_id) - 1 AS place FROM (SELECT point_id, (((point_id % 1000003) * 48271 + 7919) % 2147483647 * 69621 + 1) % 2147483647 AS h FROM pts)) WHERE place < 1000),
+ ln AS (SELECT count(*) AS t FROM sm), pr AS (SELECT a.n // 2 AS pair_id, a.x % t AS i, b.x % t AS j, t FROM lc a JOIN lc b ON b.n = a.n + 1 AND a.n % 2 = 0, ln)
+ SELECT CAST(pair_id AS INTEGER) AS pair_id, s.point_id AS i, u.point_id AS j FROM pr JOIN sm s ON s.place = i JOIN sm u ON u.place = CASE WHEN j = i THEN (j + 1) % t ELSE j END""")
 def random_pairs(spark, sf):
     return growth.random_pairs(pts(spark, sf), 500)
 
