@@ -62,10 +62,6 @@ def continuous_weights(layered: DataFrame, gamma: float, low: float = 0.1) -> Da
     return layered.withColumn("alpha", F.when(F.col("first_layer"), 1.0).otherwise(F.greatest(F.lit(low), F.pow(F.col("q"), F.lit(gamma)))))
 
 
-def orientation_cells(rows: DataFrame, chord: float, cols=N) -> list[Column]:
-    return [F.floor(F.col(c) / F.lit(chord)).cast("long") for c in cols]
-
-
 def angular_pairs(rows: DataFrame, eps: float) -> DataFrame:
     """Pairs a, b (a row with itself included) of normals at most eps degrees apart as undirected planes.
 

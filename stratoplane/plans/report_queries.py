@@ -239,3 +239,21 @@ def united_segments(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("disc_id"), (F.col("event_id") % 50).alias("i"), "event_type", "value")
     u = patches.united([e.where("event_type = 'click'"), e.where("value > 50")], "disc_id", "i")
     return u.select("disc_id", F.array_join("i", " ").alias("points"))
+
+
+@query(f"""WITH {_USERS}, e AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, CAST(greatest(10, least(50, floor(sqrt(count(*))))) AS INTEGER) AS k FROM me WHERE metric <> 'roughness'),
+ b AS (SELECT CAST(least(k - 1, floor((v - lo) / ((hi - lo) / k))) AS INTEGER) AS bin, lo, hi, k FROM me, e WHERE metric <> 'roughness')
+ SELECT bin, count(*) AS count, {q6('min(lo) + bin * (min(hi) - min(lo)) / min(k)')} AS left_edge FROM b GROUP BY bin""")
+def adaptive_histogram(spark, sf):
+    """Equal bins whose number grows with the root of the number of values."""
+    from ..shared_store import written
+
+    v = written(user_measures(spark, sf).where("metric <> 'roughness'"), "measures")
+    return S.equal_width_histogram(v, "v", S.adaptive_bins(v.count())).select("bin", "count", r6("left_edge").alias("left_edge"))
+
+
+@query("SELECT event_id AS disc_id, CASE WHEN value > 50 THEN value - 50 ELSE CAST(user_id AS DOUBLE) END AS trace FROM events")
+def traces_or_longest_segments(spark, sf):
+    """A discontinuity's trace, or its longest segment's where it has none."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("disc_id"), (F.col("value") - 50).alias("trace"), F.col("user_id").cast("double").alias("longest"))
+    return e.select("disc_id", O.trace_or_longest_segment(e, "trace", "longest").alias("trace"))
