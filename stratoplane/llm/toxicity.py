@@ -36,6 +36,8 @@ U64 = np.uint64
 #: Labelled rows of either label and other rows that are learned from; stems kept; beginnings of words in bytes.
 SAMPLE, UNLABELLED, STEMS, BEGINNINGS = 1200, 1200, 256, range(4, 10)
 THRESHOLD = 0.7
+#: Toxic texts times the log of their lift that a stem must reach: less is found by chance among so many stems.
+SURE = 12.0
 #: Occurrences in a thousand words from which a lexicon voter votes (0: at least one).
 RATES = (0.0, 2.0, 5.0, 10.0)
 _NOT_LETTER = np.ones(256, bool)
@@ -116,7 +118,7 @@ def choose_stems(texts: list[bytes], toxic: np.ndarray, limit: int = STEMS) -> t
     rate = worth.argmax(axis=0)
     best = worth.max(axis=0)
     top = np.argsort(-best, kind="stable")[:limit]
-    top = top[best[top] > 0]
+    top = top[best[top] >= SURE]
     order = np.argsort(stems[top])
     return stems[top][order], np.array(RATES)[rate[top][order]]
 
