@@ -319,6 +319,14 @@ def region_growing(spark, sf):
     return growth.region_growing(with_normals(spark, sf), 0.15, 20.0, 30)
 
 
+@query()
+def ordered_regions(spark, sf):
+    """Regions grown from seeds in order, each against its seed's plane, within blocks of ten units."""
+    from ..operators.voxels import KEY
+
+    return growth.ordered_regions(voxels.with_voxels(with_normals(spark, sf), 10.0), KEY, 0.15, 20.0, 30)
+
+
 @query()
 def sequential_ransac(spark, sf):
     planes, _ = ransac.detect_planes(pts(spark, sf).select("point_id", "x", "y", "z"), 0.05, 100, 1000)
