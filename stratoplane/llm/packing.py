@@ -33,7 +33,7 @@ from .arrowrows import bounded, kept
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
 #: Bytes of words, and as many of parts of words, that a worker remembers before its table starts anew; what an entry takes beside its text.
-REMEMBERED, _ENTRY = 24 << 20, 160
+REMEMBERED, _ENTRY = 64 << 20, 160
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
