@@ -18,7 +18,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
     The session's own limit counts 10,000 rows, whatever their length, and 64 MB, of which a task holds several copies."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(conf.get(key, "")).removesuffix("b")
+    now = str(conf.get(key, "67108864")).removesuffix("b")
     if not now.isdigit() or int(now) > TAKEN_BYTES:
         conf.set(key, str(TAKEN_BYTES))
     return df
