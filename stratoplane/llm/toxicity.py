@@ -90,6 +90,23 @@ class Counter:
         return counts, np.diff(first), patterns_of(data, offsets, levels[0], first)
 
 
+def words_held(counter: Counter, text: bytes, rates: np.ndarray) -> int:
+    """How many words of a text have a stem that comes often enough; the stems of one word count once."""
+    data = np.frombuffer(text, np.uint8)
+    levels, first = stems_of(data, np.array([0, len(data)]))
+    m = len(counter.stems)
+    if not m or not len(levels[0]):
+        return 0
+    places = [np.minimum(np.searchsorted(counter.stems, h), m - 1) for h in levels]
+    hits = [counter.stems[place] == h for place, h in zip(places, levels)]
+    counts = sum(np.bincount(place[hit], minlength=m) for place, hit in zip(places, hits))
+    over = (counts > 0) & (1000.0 * counts / max(1, first[-1]) >= rates)
+    held = np.zeros(len(levels[0]), bool)
+    for place, hit in zip(places, hits):
+        held |= hit & over[place]
+    return int(held.sum())
+
+
 def choose_stems(texts: list[bytes], toxic: np.ndarray, limit: int = STEMS) -> tuple[np.ndarray, np.ndarray]:
     """The stems that set toxic texts apart best, and for each the rate from which its voter votes."""
     held: dict[bool, list] = {True: [], False: []}
@@ -128,12 +145,12 @@ def lexicon_of(counts: np.ndarray, words: np.ndarray, rates: np.ndarray) -> np.n
     return (counts > 0) & (1000.0 * counts / np.maximum(words, 1)[:, None] >= rates)
 
 
-def votes_of(lexicon: np.ndarray, patterns: np.ndarray, bars: np.ndarray, many: int) -> np.ndarray:
-    """-1 (clean), 0 (nothing) or 1 (toxic) of each voter: a voter for each stem, which speaks where two more stems stand beside its own,
-    one for each pattern, and two over all stems, one that says clean where there is none, one that says toxic from ``many`` on,
-    else clean."""
-    some = lexicon.sum(axis=1)[:, None]
-    return np.hstack([lexicon & (some >= 3), patterns > bars, np.where(some > 0, 0, -1), np.where(some >= many, 1, -1)]).astype(np.int8)
+def votes_of(lexicon: np.ndarray, held: np.ndarray, patterns: np.ndarray, bars: np.ndarray, many: int) -> np.ndarray:
+    """-1 (clean), 0 (nothing) or 1 (toxic) of each voter: a voter for each stem, which speaks where a text holds two words with a stem
+    at least, one for each pattern, and two over all such words, one that says clean where there is none, one that says toxic from
+    ``many`` on, else clean."""
+    held = held[:, None]
+    return np.hstack([lexicon & (held >= 2), patterns > bars, np.where(held > 0, 0, -1), np.where(held >= many, 1, -1)]).astype(np.int8)
 
 
 def label_model(votes: np.ndarray, over_all: int = 0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,13 +214,14 @@ class Model:
             return
         counts, words, patterns = (np.concatenate(p) for p in zip(*(self._count(t) for t in [*texts, *others])))
         lexicon, clean = lexicon_of(counts, words, self.rates), np.flatnonzero(toxic == 0)
-        bars, held = np.quantile(patterns[clean], 0.98, axis=0), lexicon[: len(toxic)].sum(axis=1)
+        every = np.array([words_held(self.counter, t, self.rates) for t in [*texts, *others]])
+        bars, held = np.quantile(patterns[clean], 0.98, axis=0), every[: len(toxic)]
         # Where "many" begins: where it parts the labels best.
-        many = max(range(3, 13), key=lambda n: (held[toxic == 1] >= n).mean() - 4 * (held[clean] >= n).mean())
+        many = max(range(2, 13), key=lambda n: (held[toxic == 1] >= n).mean() - 4 * (held[clean] >= n).mean())
         # As with stems, a pattern has a voter only if toxic texts show it at least four times as often.
         often = [(patterns[np.flatnonzero(toxic == y)] > bars).mean(axis=0) for y in (0, 1)]
         bars = np.where(often[1] >= 4 * np.maximum(often[0], 0.005), bars, np.inf)
-        self.posterior, self.accuracies, self.shares = label_model(votes_of(lexicon, patterns, bars, many), over_all=2)
+        self.posterior, self.accuracies, self.shares = label_model(votes_of(lexicon, every, patterns, bars, many), over_all=2)
         self.weights = logistic(design(counts, words, patterns, self.rates), self.posterior)
         # Toxic rows are more frequent in the sample than among all; scores are for their share among all.
         own, share = (min(max(p, 1e-4), 1 - 1e-4) for p in (self.posterior.mean(), share))
