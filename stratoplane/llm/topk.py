@@ -9,10 +9,12 @@ vectors are left that can qualify or the lists are at their end; the scores of t
 several queries are matrix products over the vectors that any of them still holds: reading to a depth equals clamping a column at
 its list's frontier.
 
-Queries and vectors are packed to blocks of bounded size by a hash of the id, and every pair of a vector block and a query block
-is one row of an equi-join: no side is broadcast or gathered. First each query block meets one vector block; the k-th scores
-found there are the bars that the queries take to all blocks. Each pair of blocks gives k rows a query; the k best of these
-follow by rank, ties to the smaller id. Shuffled are V * Q / QUERIES vectors and Q * V / VECTORS queries.
+Queries are dealt to groups and vectors to chunks by a hash of the id; a cell is one group and one chunk, a partition of its own.
+Its queries come first and are held, its vectors stream past them in blocks, and a query's k-th best score so far is its bar for
+the next block. No side is joined, broadcast or gathered: all that a task holds are the queries of a group (HELD_BYTES) and a
+block of vectors. First, small groups of queries meet about one block of vectors; the k-th scores found there are the bars that the
+queries take to all cells. A cell gives k rows a query; the k best of these follow by rank, ties to the smaller id.
+Shuffled are V * Q / (queries of a group) vectors and Q * V / (VECTORS * CHUNK) queries.
 
 Components are scaled, floored to integers, and scored in floating point that is exact for the sizes at hand (int64 beyond).
 Vectors that are null or hold null or non-finite components take no part; a shorter vector is filled up with 0. Rows without
@@ -30,8 +32,10 @@ from ..tables import table
 from .arrowrows import bounded, kept
 
 K, SCALE, EVERY = 5, 256.0, 50
-#: Vectors and queries of a block, queries whose bounds are held at once, the first depth as a share of a list.
-VECTORS, QUERIES, AT_ONCE, FIRST_DEPTH = 8192, 4096, 64, 1 / 8
+#: Vectors of a block, queries of a group in the first search, blocks of a chunk, queries whose bounds are held at once, the first
+#: depth as a share of a list; bytes of a group's queries and of a block's vectors as doubles.
+VECTORS, QUERIES, CHUNK, AT_ONCE, FIRST_DEPTH = 8192, 4096, 16, 64, 1 / 8
+HELD_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
 _EXACT = float(1 << 53)
 
 
@@ -56,22 +60,16 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float =
     return rows.groupBy("id").agg(F.min(F.struct("v", "dims")).alias("x")).select("id", "x.v", "x.dims")
 
 
-def _blocks(rows: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """block, rows: ids and vectors packed by a hash of the id."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v", "dims", *columns)).alias("rows"))
-
-
-def _matrix(rows: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids in order, their vectors, and where the rows were."""
-    ids, vs, widths = rows.values.field("id").to_numpy(zero_copy_only=False), rows.values.field("v"), rows.values.field("dims").to_pylist()
-    out = np.zeros((len(ids), dims))
-    for k, (v, n) in enumerate(zip(vs, widths)):
+def _matrix(rows: list[pa.RecordBatch], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids in order, their vectors, and their bars."""
+    rows = pa.Table.from_batches(rows).combine_chunks()
+    ids, widths = rows.column("id").to_numpy(), rows.column("dims").to_pylist()
+    order, out = np.argsort(ids, kind="stable"), np.zeros((len(ids), dims))
+    for k, (v, n) in enumerate(zip(rows.column("v"), widths)):
         raw = v.as_buffer()
         if n:
             out[k, :n] = np.frombuffer(raw, "<i4" if raw.size == 4 * n else "<f8")
-    order = np.argsort(ids, kind="stable")
-    return ids[order], out[order], order
+    return ids[order], out[order], rows.column("bar").to_numpy()[order]
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
@@ -129,38 +127,98 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray, ids: np.ndarra
                 yield int(part_ids[i]), int(ids[at[j]]), int(scores[j])
 
 
-def _met(pairs: DataFrame, k: int, dims: int) -> DataFrame:
-    """query_id, vec_id, score of the k best of each pair of blocks (rows, asked)."""
+class _Search:
+    """The k best vectors so far of the queries of a cell."""
+
+    def __init__(self, k: int, dims: int, block: int):
+        self.k, self.dims, self.block = k, dims, block
+        self.asked, self.waiting, self.n, self.queries, self.best = [], [], 0, None, {}
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        self.asked.append(rows)
+
+    def pass_by(self, rows: pa.RecordBatch) -> None:
+        while self.n + rows.num_rows >= self.block:
+            cut = self.block - self.n
+            self.waiting.append(rows.slice(0, cut))
+            rows = rows.slice(cut)
+            self._meet()
+        if rows.num_rows:
+            self.waiting.append(rows)
+            self.n += rows.num_rows
+
+    def _meet(self) -> None:
+        if self.queries is None:
+            self.queries, self.asked = (_matrix(self.asked, self.dims) if self.asked else ()), []
+            self.place = {key: at for at, key in enumerate(self.queries[0].tolist())} if self.queries else {}
+        if self.queries:
+            ids, x, _ = _matrix(self.waiting, self.dims)
+            q_ids, q, bars = self.queries
+            fresh: dict[int, list[tuple[int, int]]] = {}
+            for query, vec, score in block_top(q_ids, q, bars, ids, x, self.k):
+                fresh.setdefault(query, []).append((-score, vec))
+            for query, more in fresh.items():
+                self.best[query] = best = sorted(self.best.get(query, []) + more)[: self.k]
+                if len(best) == self.k:
+                    bars[self.place[query]] = max(bars[self.place[query]], -best[-1][0])
+        self.waiting, self.n = [], 0
+
+    def result(self):
+        """Batches of query_id, vec_id, score."""
+        if self.n:
+            self._meet()
+        found = [(query, vec, -less) for query, best in self.best.items() for less, vec in best]
+        for lo in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[lo : lo + (1 << 16)])], names=["query_id", "vec_id", "score"])
+
+
+def _met(queries: DataFrame, vectors: DataFrame, groups: int, chunks: int, k: int, dims: int, block: int) -> DataFrame:
+    """query_id, vec_id, score of the k best of each chunk of vectors for each query (with bar) that reach its bar."""
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("id", "v", "dims", "bar", F.lit(True).alias("asks"), dealt(groups).alias("g"), every(chunks).alias("c"))
+    past = vectors.select("id", "v", "dims", F.lit(0.0).alias("bar"), F.lit(False).alias("asks"), every(groups).alias("g"), dealt(chunks).alias("c"))
+    rows = asked.unionByName(past).withColumn("cell", F.col("g") * F.lit(chunks) + F.col("c")).drop("g", "c")
+    # A partition a cell: work goes by cells, not by their few bytes.
+    rows = rows.repartitionById(groups * chunks, "cell").sortWithinPartitions("cell", F.desc("asks"))
 
     def run(batches):
+        kept(None)
+        now, search = None, None
         for b in batches:
-            for xs, qs in zip(b.column(0), b.column(1)):
-                ids, x, _ = _matrix(xs, dims)
-                q_ids, q, order = _matrix(qs, dims)
-                bars = qs.values.field("bar").to_numpy(zero_copy_only=False)[order]
-                found = list(block_top(q_ids, q, bars, ids, x, k))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+            cells, asks = b.column("cell").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero((np.diff(cells) != 0) | (asks[1:] != asks[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(cells)]):
+                if lo == hi:
+                    continue
+                if cells[lo] != now:
+                    if search:
+                        yield from search.result()
+                    now, search = cells[lo], _Search(k, dims, block)
+                (search.ask if asks[lo] else search.pass_by)(b.slice(lo, hi - lo))
+        if search:
+            yield from search.result()
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return bounded(rows).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = K, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row whose id meets is_query (a condition on ``id``)."""
     rows = written(integer_vectors(df, id_col, vector_col, scale), "vectors")
     n_vectors, n_queries, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max("dims"), F.lit(0))).first()
-    query_blocks, vector_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-n_vectors // VECTORS))
-    blocks = written(_blocks(rows, vector_blocks).select("rows", F.col("block").alias("vb")), "vector-blocks")
+    width = 8 * max(1, dims)
+    block, held = max(k, min(VECTORS, BLOCK_BYTES // width)), max(1, HELD_BYTES // width)
+    blocks, groups = max(1, -(-n_vectors // block)), max(1, -(-n_queries // held))
+    # Chunks of CHUNK blocks, or smaller ones where these would leave cores idle.
+    chunks = min(blocks, max(-(-blocks // CHUNK), -(-2 * df.sparkSession.sparkContext.defaultParallelism // groups)))
     none = F.lit(float("-inf"))
     queries = rows.where(is_query)
-    # Thresholds: every query block meets one vector block.
-    first = _blocks(queries.withColumn("bar", none), query_blocks, "bar").select(F.col("rows").alias("asked"), F.pmod("block", F.lit(vector_blocks)).alias("vb"))
-    found = _met(blocks.join(first, "vb").select("rows", "asked"), k, dims)
+    # Thresholds: every query meets about one block of vectors.
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == 0)
+    found = _met(queries.withColumn("bar", none), some, max(1, -(-n_queries // min(QUERIES, held))), 1, k, dims, block)
     bars = written(found.groupBy(F.col("query_id").alias("id")).agg(F.min("score").cast("double").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n"), "bars")
-    asked = _blocks(queries.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", none)), query_blocks, "bar")
-    asked = asked.select(F.col("rows").alias("asked"), F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("vb"))
-    every = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    best = _met(every.join(asked, ["vb", "qb"]).select("rows", "asked"), k, dims)
+    asked = written(queries.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", none)), "asked")
+    best = _met(asked, rows, groups, chunks, k, dims, block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -441,6 +441,20 @@ def test_top_k_with_ties_in_blocks(spark, monkeypatch, copies):
     assert found == brute_top(vectors)
 
 
+def test_top_k_broadcasts_no_side(spark, monkeypatch):
+    """Copies of queries or vectors for the other side's blocks must not come to the driver, however small a table looks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(topk, "VECTORS", 16)
+    monkeypatch.setattr(topk, "HELD_BYTES", 8 * 8 * 5, raising=False)
+    draw = np.random.default_rng(5)
+    vectors = [(i, draw.normal(size=8).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    found = topk.top_k(frame, "vec_id", "embedding", F.col("id") % 50 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == brute_top(vectors)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_leave_outsiders_of_skewed_vectors():
     """Components that fall off quickly: few vectors are left long before the lists are read; nearly even ones take most of them."""
     draw = np.random.default_rng(6)
