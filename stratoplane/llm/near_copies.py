@@ -16,8 +16,11 @@ the connected components of these links.
    buckets that still hold several components take new centres among the members that were none yet, and link them to the
    members of other components. A bucket with up to SETTLED of these takes them all, so it is settled exactly; a larger one takes
    CENTRES, those with most links so far (the text that others were copied from is soon one of them), then by a hash, which
-   gives the many buckets of a group many different centres. Pairs stay linear in members, by a fixed factor. Rounds end
-   when one finds no new link.
+   gives the many buckets of a group many different centres. Pairs stay linear in members, by a fixed factor.
+5. When a round finds no new link, the members that were no centre yet of buckets that still hold several components are
+   settled exactly: each two of them in different components meet in a tile of at most about 2 * TILE members, which compares their
+   sizes and sketches; those that pass are confirmed like the others. So no pair of a bucket is left out, whatever its size; the
+   cost of this step alone grows with the square of a bucket's members that are like no other.
 
 A star of any size is confirmed without copies of its centre: pairs are dealt by centre and a salt of the member, and a task
 streams a centre's members past its set. Full sets are made again from the texts of the documents that need them, found by a
@@ -46,6 +49,8 @@ SHINGLE, SHARE = 5, (75, 100)
 BANDS, ROWS = 40, 5
 #: Estimated similarity from which pairs are confirmed; new centres that a large bucket takes in a round, members that a small one has; least salts of a centre.
 MARGIN, CENTRES, SETTLED, SALTS = 0.6, 4, 16, 64
+#: Members of a side of a tile.
+TILE = 4096
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bin that an empty bin asks in its t-th try: a fixed pseudo-random table.
@@ -210,6 +215,67 @@ def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, te
     return written(confirmed(some, docs, id_col, text_col), "links")
 
 
+def _plausible_of_tile(rows: pa.Table, one_side: bool):
+    """Arrays (a, b) of plausible pairs of different components; of a tile of two sides, those of different sides."""
+    rows = rows.combine_chunks().sort_by("n")
+    ids, n, comp, slot = (rows.column(c).to_numpy() for c in ("_id", "n", "comp", "slot"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, _BINS)
+    # The larger members that can be similar to a member come next to it.
+    ends = np.searchsorted(SHARE[0] * n, SHARE[1] * n, side="right").tolist()
+    for i, end in enumerate(ends):
+        other = comp[i + 1 : end] != comp[i]
+        if not one_side:
+            other &= slot[i + 1 : end] != slot[i]
+        at = np.flatnonzero(other) + i + 1
+        if len(at):
+            at = at[estimates(sketch[i], sketch[at]) >= MARGIN]
+            yield np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])
+
+
+def _tiles(batches):
+    """The rows of each tile, of rows sorted by bucket and tile, and whether it has one side only."""
+    now, parts = None, []
+    for b in batches:
+        h, i, j = (b.column(c).to_numpy() for c in ("h", "i", "j"))
+        cuts = (np.flatnonzero((np.diff(h) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(h)]):
+            if lo < hi:
+                if parts and (h[lo], i[lo], j[lo]) != now:
+                    yield pa.Table.from_batches(parts), now[1] == now[2]
+                    parts = []
+                now = (h[lo], i[lo], j[lo])
+                parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts), now[1] == now[2]
+
+
+def _pairs_of_tiles(batches):
+    """The pairs (a, b) of rows sorted by bucket and tile."""
+    kept(None)
+    out, size = [], 0
+    for pair in (pair for tile in _tiles(batches) for pair in _plausible_of_tile(*tile)):
+        out.append(pair)
+        size += len(pair[0])
+        if size >= 1 << 16 or len(out) >= 1 << 12:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+
+
+def tiled_pairs(members: DataFrame, found: DataFrame, heads: DataFrame) -> DataFrame:
+    """The plausible pairs (a, b) of all members (h, _id, n, was) of a bucket that were no centre and are in different components."""
+    free = members.where(~F.col("was")).join(found.select(F.col("node").alias("_id"), "component"), "_id", "left")
+    free = written(free.select("h", "_id", "n", F.coalesce("component", "_id").alias("comp")), "free")
+    several = free.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 <> c2")
+    sides = several.select("h", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("sides"))
+    placed = free.join(sides, "h").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("sides")).cast("int"))
+    placed = placed.join(heads.select("_id", "sketch"), "_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = placed.select("h", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "_id", "n", "comp", "slot", "sketch")
+    rows = bounded(tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"))
+    return rows.mapInArrow(_pairs_of_tiles, "a long, b long").distinct()
+
+
 def further_stars(members: DataFrame, found: DataFrame, links: list[DataFrame], number: int) -> tuple[DataFrame, DataFrame]:
     """The members (h, _id, n, was) of buckets with several components, after their new centres are marked, and the pairs (a, b) of
     new centres and members of other components."""
@@ -261,6 +327,9 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # The components so far are stars already; only the new links have to be worked in.
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra), "a", "b")
         rest, number = written(rest, "members"), number + 1
+    last = written(confirmed(written(tiled_pairs(rest, found, heads), "pairs"), docs, id_col, text_col), "links")
+    if not last.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), "a", "b")
     settled = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_id", "n", F.coalesce("component", "rep").alias("component"))
     alone = signed.where("n = 0 OR _id IS NULL").select("_id", "n", F.col("_id").alias("component"))
     return settled.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

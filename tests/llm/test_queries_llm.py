@@ -631,6 +631,21 @@ def test_large_groups_of_copies_of_one_text(spark):
     assert sum(found[i] == c for i, c in want.items()) >= 0.99 * len(want)
 
 
+def unlike_in_one_bucket(monkeypatch):
+    """Documents that all share one bucket, of which only two are similar; neither is the bucket's smallest."""
+    monkeypatch.setattr(near_copies, "band_hashes", lambda sig: np.zeros(1, np.uint64))
+    docs = [(i, " ".join(f"d{i}_{k}" for k in range(40))) for i in range(300)]
+    return [*docs, (301, docs[207][1] + " more")]
+
+
+@pytest.mark.parametrize("tile", [4096, 50])
+def test_two_similar_members_of_a_large_bucket_meet(spark, monkeypatch, tile):
+    docs = unlike_in_one_bucket(monkeypatch)
+    monkeypatch.setattr(near_copies, "TILE", tile, raising=False)
+    found = near_copies.near_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((tuple(r) for r in found), key=repr) == brute_near(docs)
+
+
 def test_an_id_with_several_texts_has_the_links_of_all(spark):
     text = lambda name: " ".join(f"{name}{k}" for k in range(40))
     docs = [(1, text("a")), (5, text("a")), (5, text("b")), (5, text("b")), (7, text("b") + " more"), (8, text("c"))]
