@@ -76,6 +76,18 @@ def test_rows_of_one_id_or_none(spark):
     assert all(tuple(r) in rows for r in mixed)
 
 
+def test_near_copies_of_a_large_bucket_go(spark, monkeypatch):
+    """All documents share one bucket; two are similar, and neither is the bucket's smallest."""
+    from stratoplane.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "band_hashes", lambda sig: sig[:1] * 0)
+    texts = [" ".join(f"d{i}_{k}" for k in range(40)) for i in range(300)]
+    docs = [(i, t, "en", "a", len(t)) for i, t in enumerate([*texts, texts[207] + " more"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.one_of_near_copies(spark, frame, "").select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == list(range(300))
+
+
 def test_only_texts_without_language_are_rejected(spark, edge_docs):
     kept = P.known_language(spark, edge_docs, "").collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(r["doc_id"]) for r in edge_docs.collect() if r["text"] and language.has_letter(r["text"].encode()))
