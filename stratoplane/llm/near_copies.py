@@ -19,8 +19,10 @@ the connected components of these links.
    gives the many buckets of a group many different centres. Pairs stay linear in members, by a fixed factor.
 5. When a round finds no new link, the members that were no centre yet of buckets that still hold several components are
    settled exactly: each two of them in different components meet in a tile of at most about 2 * TILE members, which compares their
-   sizes and sketches; those that pass are confirmed like the others. So no pair of a bucket is left out, whatever its size; the
-   cost of this step alone grows with the square of a bucket's members that are like no other.
+   sizes and sketches, and members with a plausible partner meet again in tiles with their full sets. So no pair of a bucket is left
+   out, whatever its size, and no pair becomes a row: a tile hands over members, then links that join components, never more
+   than its members. Comparisons of sketches grow with the square of a bucket's members that are like no other; so do rows from TILE
+   members on, divided by TILE. Sets are compared by what sets them apart from the hashes that most of their tile hold.
 
 A star of any size is confirmed without copies of its centre: pairs are dealt by centre and a salt of the member, and a task
 streams a centre's members past its set. Full sets are made again from the texts of the documents that need them, found by a
@@ -34,7 +36,8 @@ empty result.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -49,8 +52,8 @@ SHINGLE, SHARE = 5, (75, 100)
 BANDS, ROWS = 40, 5
 #: Estimated similarity from which pairs are confirmed; new centres that a large bucket takes in a round, members that a small one has; least salts of a centre.
 MARGIN, CENTRES, SETTLED, SALTS = 0.6, 4, 16, 64
-#: Members of a side of a tile.
-TILE = 4096
+#: Members of a side of a tile, hashes of its sets.
+TILE, WEIGHT = 4096, 1 << 20
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bin that an empty bin asks in its t-th try: a fixed pseudo-random table.
@@ -215,11 +218,12 @@ def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, te
     return written(confirmed(some, docs, id_col, text_col), "links")
 
 
-def _plausible_of_tile(rows: pa.Table, one_side: bool):
-    """Arrays (a, b) of plausible pairs of different components; of a tile of two sides, those of different sides."""
+def _with_partner(rows: pa.Table, one_side: bool) -> pa.Table:
+    """The members of a tile that have a plausible partner of another component; of a tile of two sides, one on the other side."""
     rows = rows.combine_chunks().sort_by("n")
-    ids, n, comp, slot = (rows.column(c).to_numpy() for c in ("_id", "n", "comp", "slot"))
+    n, comp, slot = (rows.column(c).to_numpy() for c in ("n", "comp", "slot"))
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, _BINS)
+    found = np.zeros(len(n), bool)
     # The larger members that can be similar to a member come next to it.
     ends = np.searchsorted(SHARE[0] * n, SHARE[1] * n, side="right").tolist()
     for i, end in enumerate(ends):
@@ -229,7 +233,55 @@ def _plausible_of_tile(rows: pa.Table, one_side: bool):
         at = np.flatnonzero(other) + i + 1
         if len(at):
             at = at[estimates(sketch[i], sketch[at]) >= MARGIN]
-            yield np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])
+            found[at] = True
+            found[i] |= len(at) > 0
+    return rows.select(["h", "_id", "n", "comp"]).filter(pa.array(found))
+
+
+def _differences(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """owner, column: the symmetric difference of each set (of n hashes, one after the other) and the hashes that more than half of them hold.
+
+    Two sets differ from each other in what their differences from a third differ in, and the differences of near copies are short."""
+    m, owner = len(n), np.repeat(np.arange(len(n)), n)
+    _, column, count = np.unique(sets, return_inverse=True, return_counts=True)
+    usual = 2 * count > m
+    place, mine = np.cumsum(usual) - 1, usual[column]
+    lacks = np.ones((m, int(usual.sum())), bool)
+    lacks[owner[mine], place[column[mine]]] = False
+    who, which = np.nonzero(lacks)
+    return np.concatenate([owner[~mine], who]), np.concatenate([column[~mine], np.flatnonzero(usual)[which]])
+
+
+def _links_of_tile(rows: pa.Table, one_side: bool) -> pa.Table:
+    """Similar pairs (a, b) of members of different components, exactly; of those that join the same components one is enough."""
+    rows = rows.append_column("size", pc.divide(pc.binary_length(rows.column("shingles")), 8)).combine_chunks().sort_by("size")
+    rows = rows.filter(pc.greater(rows.column("size"), 0))
+    ids, comp, slot, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("_id", "comp", "slot", "size"))
+    owner, column = _differences(np.frombuffer(b"".join(rows.column("shingles").to_pylist()), U64), n)
+    m, length = len(n), np.bincount(owner, minlength=len(n))
+    held = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    both = held[column] > 1
+    owner, column = owner[both], column[both]
+    # What a member's difference holds, and the members whose differences hold a hash.
+    columns, first = column[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
+    owners, held = owner[np.argsort(column, kind="stable")], np.bincount(column, minlength=len(held))
+    start = np.cumsum(held) - held
+    (part, whole), out = SHARE, []
+    ends = np.searchsorted(part * n, whole * n, side="right").tolist()
+    for i, end in enumerate(ends):
+        asked = columns[first[i] : first[i + 1]]
+        many = held[asked]
+        at = np.arange(many.sum()) + np.repeat(start[asked] - np.cumsum(many) + many, many)
+        shared = np.bincount(owners[at], minlength=m)[i + 1 : end]
+        apart, total = length[i] + length[i + 1 : end] - 2 * shared, n[i] + n[i + 1 : end]
+        near = (whole * (total - apart) >= part * (total + apart)) & (comp[i + 1 : end] != comp[i])
+        if not one_side:
+            near &= slot[i + 1 : end] != slot[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if comp[j] != comp[i]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                comp[comp == comp[j]] = comp[i]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _tiles(batches):
@@ -249,31 +301,30 @@ def _tiles(batches):
         yield pa.Table.from_batches(parts), now[1] == now[2]
 
 
-def _pairs_of_tiles(batches):
-    """The pairs (a, b) of rows sorted by bucket and tile."""
-    kept(None)
-    out, size = [], 0
-    for pair in (pair for tile in _tiles(batches) for pair in _plausible_of_tile(*tile)):
-        out.append(pair)
-        size += len(pair[0])
-        if size >= 1 << 16 or len(out) >= 1 << 12:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+def _in_tiles(members: DataFrame, weight: Column, others: DataFrame, found, schema: str) -> DataFrame:
+    """What found gives for each tile of members (h, _id, comp ...) joined with others by _id; a side has about TILE members and WEIGHT of weight at most."""
+
+    def run(batches):
+        kept(None)
+        for tile in _tiles(batches):
+            yield from found(*tile).to_batches()
+
+    sides = members.groupBy("h").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE), F.sum(weight) / F.lit(WEIGHT))).cast("int").alias("sides"))
+    placed = members.join(sides, "h").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("sides")).cast("int"))
+    placed = placed.join(others, "_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = placed.drop("sides").withColumns({"i": F.least("slot", "t"), "j": F.greatest("slot", "t")}).drop("t")
+    return bounded(tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")).mapInArrow(run, schema)
 
 
-def tiled_pairs(members: DataFrame, found: DataFrame, heads: DataFrame) -> DataFrame:
-    """The plausible pairs (a, b) of all members (h, _id, n, was) of a bucket that were no centre and are in different components."""
+def settled_links(members: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join whatever is similar of the members (h, _id, n, was) of a bucket that were no centre and are in different components."""
     free = members.where(~F.col("was")).join(found.select(F.col("node").alias("_id"), "component"), "_id", "left")
     free = written(free.select("h", "_id", "n", F.coalesce("component", "_id").alias("comp")), "free")
-    several = free.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 <> c2")
-    sides = several.select("h", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("sides"))
-    placed = free.join(sides, "h").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("sides")).cast("int"))
-    placed = placed.join(heads.select("_id", "sketch"), "_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiles = placed.select("h", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "_id", "n", "comp", "slot", "sketch")
-    rows = bounded(tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"))
-    return rows.mapInArrow(_pairs_of_tiles, "a long, b long").distinct()
+    several = free.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("h")
+    some = _in_tiles(free.join(several, "h"), F.lit(0), heads.select("_id", "sketch"), _with_partner, "h long, _id long, n long, comp long").distinct()
+    some = written(some.groupBy("h", "_id", "comp").agg(F.sum("n").alias("n")), "partners")
+    held = shingles_of(some, docs, id_col, text_col)
+    return written(_in_tiles(some, F.col("n"), held, _links_of_tile, "a long, b long").distinct(), "links")
 
 
 def further_stars(members: DataFrame, found: DataFrame, links: list[DataFrame], number: int) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +378,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # The components so far are stars already; only the new links have to be worked in.
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra), "a", "b")
         rest, number = written(rest, "members"), number + 1
-    last = written(confirmed(written(tiled_pairs(rest, found, heads), "pairs"), docs, id_col, text_col), "links")
+    last = settled_links(rest, found, heads, docs, id_col, text_col)
     if not last.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), "a", "b")
     settled = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_id", "n", F.coalesce("component", "rep").alias("component"))

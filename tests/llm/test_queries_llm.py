@@ -646,6 +646,35 @@ def test_two_similar_members_of_a_large_bucket_meet(spark, monkeypatch, tile):
     assert sorted((tuple(r) for r in found), key=repr) == brute_near(docs)
 
 
+@pytest.mark.parametrize("limits", [{}, {"TILE": 50}, {"WEIGHT": 4000}])
+def test_pairs_of_a_large_bucket_of_nearly_similar_texts_are_no_rows(spark, monkeypatch, limits):
+    """Copies of a text that is not there, each two a little less similar than it takes, but for one pair: all is found, and no table grows with the pairs."""
+    draw, base, edits = np.random.default_rng(5), [f"b{k}" for k in range(200)], []
+    while len(edits) < 150:
+        new = set((1 + draw.choice(38, 4, replace=False)).tolist())
+        if all(len(new & e) < 3 for e in edits):
+            edits.append(new)
+    edited = lambda i, at: " ".join(f"e{i}_{k}" if k % 5 == 2 and k // 5 in at else w for k, w in enumerate(base))
+    docs = [(i, edited(i, e)) for i, e in enumerate(edits)]
+    docs.append((150, docs[77][1] + " more"))
+    monkeypatch.setattr(near_copies, "band_hashes", lambda sig: np.zeros(1, np.uint64))
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value, raising=False)
+    counts, write = [], near_copies.written
+
+    def counted(df, name):
+        counts.append((write(df, name), name))
+        return counts[-1][0]
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    want = brute_near(docs)
+    assert len({c for _, _, c in want}) == 150
+    found = near_copies.near_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((tuple(r) for r in found), key=repr) == want
+    most = max((df.count(), name) for df, name in counts)
+    assert most[0] <= 8 * len(docs), most
+
+
 def test_an_id_with_several_texts_has_the_links_of_all(spark):
     text = lambda name: " ".join(f"{name}{k}" for k in range(40))
     docs = [(1, text("a")), (5, text("a")), (5, text("b")), (5, text("b")), (7, text("b") + " more"), (8, text("c"))]
