@@ -75,7 +75,7 @@ def angular_pairs(rows: DataFrame, eps: float) -> DataFrame:
     b = b.withColumns(dict(zip(("_x", "_y", "_z"), (F.floor(F.col(f"b{c}") / chord).cast("long") for c in N))))
     for c in ("_x", "_y", "_z"):
         b = b.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    near = a.join(b, ["_x", "_y", "_z"]).where(plane_angle(vec("anx", "any", "anz"), vec("bnx", "bny", "bnz")) <= eps)
+    near = a.join(b.hint("merge"), ["_x", "_y", "_z"]).where(plane_angle(vec("anx", "any", "anz"), vec("bnx", "bny", "bnz")) <= eps)
     return near.select("a", "b").distinct()
 
 

@@ -37,7 +37,7 @@ def patch_adjacency(members: DataFrame, patch: str = "patch") -> DataFrame:
     near = cells.select(F.col(patch).alias("p"), *KEY)
     for c in KEY:
         near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    return near.join(cells.select(F.col(patch).alias("q"), *KEY), KEY).where("p < q").select("p", "q").distinct()
+    return near.hint("merge").join(cells.select(F.col(patch).alias("q"), *KEY), KEY).where("p < q").select("p", "q").distinct()
 
 
 def edge_matches(edge: DataFrame, seeds: DataFrame, points: DataFrame, most_distance: float, most_angle: float, ident: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +52,7 @@ def edge_matches(edge: DataFrame, seeds: DataFrame, points: DataFrame, most_dist
         around = around.withColumn(f"n{c[1]}", F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     around = around.where("NOT (nx = vx AND ny = vy AND nz = vz)")
     s = seeds.select(*(F.col(c).alias(f"n{c[1]}") for c in KEY), *(F.col(c).alias(f"s{c}") for c in (*PLANE, "d")))
-    cand = around.join(s, ["nx", "ny", "nz"])
+    cand = around.hint("merge").join(s, ["nx", "ny", "nz"])
     both = cand.join(points.select(*own, "x", "y", "z"), own)
     dist = F.abs(dot(vec("sa", "sb", "sc"), vec("x", "y", "z")) + F.col("sd"))
     nw = plane_angle(vec("ea", "eb", "ec"), vec("sa", "sb", "sc"))
@@ -93,7 +93,7 @@ def grow_seeds(seeds: DataFrame, free: DataFrame, members: DataFrame, levels: li
     around = seeds.select("seed", *KEY, *PLANE, "d")
     for c in KEY:
         around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    cand = around.join(free, KEY)
+    cand = around.hint("merge").join(free, KEY)
     dist = F.abs(dot(vec(*PLANE), vec("x", "y", "z")) + F.col("d"))
     cosine = F.abs(dot(vec(*PLANE), vec("nx", "ny", "nz")))
     level = spark.createDataFrame(levels, "level int, td double, ta double")
