@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, plane_angle, vec
 from ..shared_store import written
-from .graph import components
+from .blocks import Angle, alike_pairs, density_clusters
 
 N, C = ("nx", "ny", "nz"), ("mx", "my", "mz")
 
@@ -63,37 +63,11 @@ def continuous_weights(layered: DataFrame, gamma: float, low: float = 0.1) -> Da
 
 
 def angular_pairs(rows: DataFrame, eps: float) -> DataFrame:
-    """Pairs a, b (a row with itself included) of normals at most eps degrees apart as undirected planes.
-
-    The angle is a chord on the sphere, so a grid of the chord's size turns it into an equi-join on cells; the opposite
-    normals of one side take part too, for planes near the vertical."""
-    chord = 2.0 * float(np.sin(np.radians(eps) / 2.0)) * (1 + 1e-9) + 1e-12
-    a = rows.select(F.col("disc_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in N))
-    a = a.withColumns(dict(zip(("_x", "_y", "_z"), (F.floor(F.col(f"a{c}") / chord).cast("long") for c in N))))
-    b = rows.select(F.col("disc_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in N)).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-    b = b.withColumns({f"b{c}": F.col(f"b{c}") * F.col("_s") for c in N})
-    b = b.withColumns(dict(zip(("_x", "_y", "_z"), (F.floor(F.col(f"b{c}") / chord).cast("long") for c in N))))
-    for c in ("_x", "_y", "_z"):
-        b = b.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    near = a.join(b.hint("merge"), ["_x", "_y", "_z"]).where(plane_angle(vec("anx", "any", "anz"), vec("bnx", "bny", "bnz")) <= eps)
-    return near.select("a", "b").distinct()
-
-
-def density_labels(rows: DataFrame, ident: str, pairs: DataFrame, least: int) -> DataFrame:
-    """ident and label of density clustering over the neighbour pairs (a, b; a row is its own neighbour).
-
-    Rows with at least ``least`` neighbours are cores; connected cores are a cluster; a border row joins the cluster with the
-    lowest number among its cores; the rest is -1. Clusters are numbered from 0 by their smallest core."""
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least).select(F.col("a").alias("core"))
-    cores = written(degree, "cores")
-    links = pairs.join(cores.withColumnRenamed("core", "a"), "a", "left_semi").join(cores.withColumnRenamed("core", "b"), "b", "left_semi")
-    found = components(links, "a", "b").withColumnRenamed("node", "core")
-    of_core = written(cores.join(found, "core", "left").select("core", F.coalesce("component", "core").alias("component")), "core-components")
-    number = ranked(of_core.select("component").distinct(), [F.col("component")], "component", "k").select("component", (F.col("k") - 1).alias("label"))
-    labelled = of_core.join(number, "component").select("core", "label")
-    border = pairs.join(labelled.withColumnRenamed("core", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-    out = rows.join(labelled.withColumnRenamed("core", ident), ident, "left").join(border.withColumnRenamed("a", ident), ident, "left")
-    return out.withColumn("label", F.coalesce("label", "near", F.lit(-1)).cast("long")).drop("near")
+    """Pairs i < j of normals at most eps degrees apart as undirected planes, and their angle.
+
+    The angle is a chord on the sphere, so blocks of space hold what can meet; the opposite normals of one side take part
+    too, for planes near the vertical."""
+    return alike_pairs(rows, "disc_id", N, eps)
 
 
 def density_minimum(first: int, ratio: float = 0.05) -> int:
@@ -102,7 +76,7 @@ def density_minimum(first: int, ratio: float = 0.05) -> int:
 
 
 def angular_dbscan(rows: DataFrame, eps: float, least: int) -> DataFrame:
-    return density_labels(rows, "disc_id", angular_pairs(rows, eps), least)
+    return density_clusters(rows, "disc_id", N, Angle(eps), least)
 
 
 def centres_of(labelled: DataFrame) -> DataFrame:

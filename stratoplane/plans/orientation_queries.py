@@ -50,10 +50,7 @@ def dipdir_to_normal(spark, sf):
 def plane_angle_pairs(spark, sf):
     """Pairs of planes at most 8 degrees apart."""
     o = orient(spark, sf)
-    pairs = O.angular_pairs(o, 8.0).where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j"))
-    for k in "ij":
-        pairs = pairs.join(o.select(F.col("disc_id").alias(k), *(F.col(c).alias(f"{k}{c}") for c in ("nx", "ny", "nz"))), k)
-    return pairs.select("i", "j", r6(V.plane_angle(V.vec("inx", "iny", "inz"), V.vec("jnx", "jny", "jnz"))).alias("angle"))
+    return O.angular_pairs(o, 8.0).select("i", "j", r6("angle").alias("angle"))
 
 
 _Q = f"""{ORIENT}, base AS (SELECT o.*, CAST(embedding[4] AS DOUBLE) * CAST(embedding[4] AS DOUBLE) AS rmse, abs(CAST(embedding[5] AS DOUBLE)) AS trace FROM orient o JOIN embeddings e ON e.vec_id = o.disc_id),

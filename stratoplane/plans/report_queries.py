@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.planefit import plane_fit, unbiased
 from ..operators import orientation_clusters as O
-from ..operators import patches, polygons, voxels
+from ..operators import blocks, patches, polygons, voxels
 from ..operators import statistics as S
-from ..operators.neighbours import radius_join
 from ..operators.orientation_clusters import ranked
 from ..operators.voxels import KEY
 from ..sources import converters
@@ -141,9 +140,7 @@ _PTDB = f"""{ORIENT}, lim AS (SELECT greatest(30, CAST(floor(0.003e0 * count(*))
 def point_clusters(spark, sf):
     o = orient(spark, sf).drop("label")
     least = max(30, int(0.003 * o.count()))
-    at = o.select(F.col("disc_id").alias("point_id"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"))
-    pairs = radius_join(at, at, _CHORD).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return O.density_labels(o, "disc_id", pairs, least)
+    return blocks.density_clusters(o, "disc_id", ("nx", "ny", "nz"), blocks.Radius(_CHORD), least)
 
 
 @query(f"WITH RECURSIVE {_PTDB} SELECT disc_id, cl AS label FROM db")
