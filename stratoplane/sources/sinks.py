@@ -6,7 +6,6 @@ is a range-ordered text output, so that no task holds a cloud.
 
 import io
 import json
-import struct
 import uuid
 from datetime import datetime, timezone
 
@@ -83,9 +82,12 @@ def write_csv(df: DataFrame, path: str, header: str | None = None, order: list[s
     names = header or ",".join(df.columns)
     body = df.withColumn("_line", csv_lines(df))
     keys = [F.col(c) for c in order]
-    head = df.sparkSession.range(1).select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order), F.lit(names).alias("_line"), F.lit(0).alias("_part"))
+    head = df.sparkSession.range(0, 1, 1, 1).select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order), F.lit(names).alias("_line"), F.lit(0).alias("_part"))
     every = head.unionByName(body.select(*order, "_line", F.lit(1).alias("_part")))
-    every.orderBy("_part", *keys).select("_line").write.mode("overwrite").text(path)
+    if keys:
+        every = every.orderBy("_part", *keys)
+    # Without an order the parts stay as they are, the header's before the rows': sorted by _part alone all rows would be one task's.
+    every.select("_line").write.mode("overwrite").text(path)
 
 
 def created(path: str):
@@ -115,7 +117,7 @@ def write_group_files(df: DataFrame, key: str, order: str, folder: str, pattern:
     rows = df.select(key, order, *(F.col(c).alias(f"_c{k}") for k, c in enumerate(columns))).join(counted, key)
     line = F.concat_ws("," if form == "csv" else " ", *(F.coalesce(F.col(f"_c{k}").cast("string"), F.lit("")) for k in range(len(columns))))
     if form != "binary":
-        rows = rows.select(key, order, "_n", line.alias("_line"))
+        rows = rows.select(key, order, "_n", F.concat(line, F.lit("\n")).alias("_line"))
     codes = "<" + "".join("B" if c in uchar else _BINARY_OF[kinds[c]][0] for c in columns) if form == "binary" else ""
     props = [f"property {'uchar' if c in uchar else _BINARY_OF.get(kinds[c], ('', 'float'))[1]} {c}" for c in columns]
     names = header or ",".join(columns)
@@ -125,19 +127,34 @@ def write_group_files(df: DataFrame, key: str, order: str, folder: str, pattern:
             return (names + "\n").encode()
         return "\n".join(["ply", f"format {'ascii' if form == 'ply' else 'binary_little_endian'} 1.0", f"element vertex {n}", *props, "end_header\n"]).encode()
 
+    def packed(b: pa.RecordBatch) -> np.ndarray:
+        """The batch as binary records; values that a field cannot hold raise, as do NULLs."""
+        kind = np.dtype([(f"f{k}", "<" + ("u1" if t == "B" else t)) for k, t in enumerate(codes[1:])])
+        out = np.empty(b.num_rows, kind)
+        for k, f in enumerate(kind.names):
+            values = b.column(k + 3)
+            if values.null_count:
+                raise ValueError(f"{columns[k]} has NULLs")
+            out[f] = values.cast(pa.from_numpy_dtype(kind[f]), safe=kind[f].kind in "iu").to_numpy(zero_copy_only=False)
+        return out
+
     def write(batches):
         now, stream, done = None, None, []
         for b in batches:
-            keys, n = b.column(0).to_pylist(), b.column(2).to_pylist()
-            values = [b.column(k).to_pylist() for k in range(3, b.num_columns)]
-            for i, k in enumerate(keys):
-                if stream is None or k != now:
+            if not b.num_rows:
+                continue
+            keys, n = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            values = packed(b) if form == "binary" else b.column(3)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if stream is None or int(keys[lo]) != now:
                     if stream is not None:
                         stream.close()
-                    now, stream = k, created(f"{folder}/{pattern % k}")
-                    stream.write(head(n[i]))
-                    done.append((pattern % k, n[i]))
-                stream.write(struct.pack(codes, *(v[i] for v in values)) if form == "binary" else (values[0][i] + "\n").encode())
+                    now = int(keys[lo])
+                    stream = created(f"{folder}/{pattern % now}")
+                    stream.write(head(n[lo].as_py()))
+                    done.append((pattern % now, n[lo].as_py()))
+                stream.write(values[lo:hi].tobytes() if form == "binary" else "".join(values.slice(lo, hi - lo).to_pylist()).encode())
         if stream is not None:
             stream.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file_name", "num_points"])
