@@ -89,8 +89,9 @@ def lines_in_file_order(spark, sf):
 def commented_header(spark, sf):
     """A CSV whose header starts with // and names dips in words."""
     at = folder(spark, "headed") + ".csv"
-    p = pts(spark, sf).withColumn("one", F.lit(1).cast("long"))
-    sinks.write_group_files(p, "one", "point_id", at, "part_%d.csv", ["x", "y", "z", "value", "point_id"], header="//X,Y,Z,Dip (degrees),Id")
+    names = {"//X": "x", "Y": "y", "Z": "z", "Dip (degrees)": "value", "Id": "point_id"}
+    # As many files as tasks, each with the header: one file would be one task's.
+    pts(spark, sf).select(*(F.col(c).alias(n) for n, c in names.items())).write.option("header", "true").csv(at)
     back = pointfiles.read_headed(spark, at)
     return back.select(F.col("Id").cast("long").alias("point_id"), *(r6(c.upper()).alias(c) for c in "xyz"), r6("dip").alias("dip"))
 
@@ -220,7 +221,7 @@ def pcd_cloud(spark, sf):
     at = folder(spark, "cloud")
     p = pts(spark, sf)
     head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS x y z intensity", "SIZE 8 8 8 8", "TYPE F F F F", "COUNT 1 1 1 1", f"WIDTH {p.count()}", "HEIGHT 1", "DATA ascii"]
-    body = p.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"), F.col("user_id").cast("string")).alias("value"), F.lit(1).alias("part"))
-    whole = spark.createDataFrame([(h, 0) for h in head], "value string, part int").unionByName(body)
-    whole.coalesce(1).sortWithinPartitions("part").select("value").write.text(at + ".pcd")
+    body = p.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"), F.col("user_id").cast("string")).alias("value"))
+    # Part files in the order of their names are the file: the header's first, as a union keeps its sides' parts.
+    spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(body).write.text(at + ".pcd")
     return pointfiles.read_points(spark, at + ".pcd").select(*xyz(), "intensity")
