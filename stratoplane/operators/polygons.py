@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.planefit import plane_fit
 from ..functions.vectors import dot, in_plane_axes, minus, vec
+from ..shared_store import written
 
 
 def plane_coordinates(points: DataFrame, key: str, fits: DataFrame) -> DataFrame:
@@ -148,27 +149,29 @@ def largest_cells(cells: np.ndarray) -> np.ndarray:
 def hull_filter(points: DataFrame, key: str, fits: DataFrame, cell: float) -> DataFrame:
     """The points of each key that lie inside the convex hull of its plane's largest connected part of grid cells, as (key, point_id).
 
-    A key's points are one voxel's or one patch's of bounded size; keys without three cells apart keep the cells' own points."""
+    A key's group are its occupied cells, not its points; the hull goes back to the points as an array. Keys without three cells
+    apart keep the cells' own points."""
     kind = dict(points.dtypes)[key]
 
-    def keep(rows: pa.Table) -> pa.Table:
-        uv = np.stack([rows.column(c).to_numpy() for c in "uv"], axis=1)
-        at = np.floor(uv / cell).astype(np.int64)
-        cells, inverse = np.unique(at, axis=0, return_inverse=True)
+    def shape(rows: pa.Table) -> pa.Table:
+        cells = np.unique(np.stack([rows.column(c).to_numpy() for c in ("ci", "cj")], axis=1), axis=0)
         main = largest_cells(cells)
         centres = (main + 0.5) * cell
         corners = centres[hull_numpy(centres)]
+        sides, own = [], []
         if len(corners) < 3:
-            own = {tuple(c) for c in main.tolist()}
-            inside = np.array([tuple(c) in own for c in cells.tolist()])[inverse.reshape(-1)]
+            own = [{"ci": i, "cj": j} for i, j in main.tolist()]
         else:
             step = np.roll(corners, -1, axis=0) - corners
-            off = uv[:, None, :] - corners[None]
-            inside = (step[None, :, 0] * off[:, :, 1] - step[None, :, 1] * off[:, :, 0] >= -1e-12).all(axis=1)
-        return rows.select([key, "point_id"]).filter(pa.array(inside))
+            sides = [dict(zip(("u", "v", "du", "dv"), x)) for x in np.column_stack([corners, step]).tolist()]
+        return pa.table({key: rows.column(key).slice(0, 1), "sides": pa.array([sides], pa.list_(pa.struct([(c, pa.float64()) for c in ("u", "v", "du", "dv")]))), "cells": pa.array([own], pa.list_(pa.struct([(c, pa.int64()) for c in ("ci", "cj")])))})
 
     flat = plane_coordinates(points, key, fits).select(key, "point_id", "u", "v")
-    return flat.groupBy(key).applyInArrow(keep, f"`{key}` {kind}, point_id {dict(points.dtypes)['point_id']}")
+    flat = flat.withColumns({c: F.floor(F.col(x) / F.lit(cell)).cast("long") for c, x in (("ci", "u"), ("cj", "v"))})
+    shapes = flat.select(key, "ci", "cj").distinct().groupBy(key).applyInArrow(shape, f"`{key}` {kind}, sides array<struct<u: double, v: double, du: double, dv: double>>, cells array<struct<ci: long, cj: long>>")
+    inside = F.forall("sides", lambda s: s["du"] * (F.col("v") - s["v"]) - s["dv"] * (F.col("u") - s["u"]) >= -1e-12)
+    own = F.exists("cells", lambda c: (c["ci"] == F.col("ci")) & (c["cj"] == F.col("cj")))
+    return flat.join(written(shapes, "hull-shapes"), key).where(F.when(F.size("sides") > 0, inside).otherwise(own)).select(key, "point_id")
 
 
 def patch_geometry(points: DataFrame, key: str) -> DataFrame:
