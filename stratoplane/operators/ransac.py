@@ -1,7 +1,6 @@
 """Plane search by random triples: every choice is an integer hash of a seed, so a query is a function of its data.
 
-All candidates of a round are scored in one pass over the points; the candidates (some hundred planes) are a literal array
-in the plan, exploded against each point and summed before the shuffle.
+All candidates of a round are scored in one pass over the points, in numpy; what tasks count is summed after the shuffle.
 """
 
 import uuid
@@ -9,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from ..functions.vectors import dot, plane_through, vec
 from ..shared_store import shared_folder, written
 
 _MOD, _MUL, _ADD = 2147483647, 48271, 11
+#: Distances of a matrix of points and candidates.
+_CELLS = 1 << 16
 
 
 def lcg(seed: int, n: int) -> list[int]:
@@ -50,14 +52,34 @@ def candidate_planes(points: DataFrame, seed: int, n: int) -> DataFrame:
 def scores(points: DataFrame, candidates: DataFrame, threshold: float, sigma: float | None = None, weight: str | None = None) -> DataFrame:
     """cand, inliers (|distance| <= threshold) and, with sigma, the soft score sum(w exp(-d^2 / 2 sigma^2)).
 
-    Spark broadcasts the candidates, a table of bounded size, and combines counts before the shuffle."""
-    dist = F.abs(dot(vec("a", "b", "c"), vec("x", "y", "z")) + F.col("d"))
-    both = points.crossJoin(F.broadcast(candidates))  # as many rows as candidates asked for
-    out = [F.count_if(dist <= threshold).alias("inliers")]
-    if sigma:
-        w = F.col(weight) if weight else F.lit(1.0)
-        out.append(F.sum(w * F.exp(-dist * dist / (2.0 * sigma * sigma))).alias("score"))
-    return both.groupBy("cand").agg(*out)
+    The candidates, as many as were asked for, go to the tasks as an array; a task hands over one row for each of them. Points
+    and candidates meet in matrices that stay in a processor's cache, not as rows."""
+    planes = candidates.select("cand", *"abcd").orderBy("cand").collect()  # as many rows as candidates asked for
+    cand, plane = [r["cand"] for r in planes], np.array([[r[c] for c in "abcd"] for r in planes], float).reshape(-1, 4)
+    kind = dict(candidates.dtypes)["cand"]
+
+    def count(batches):
+        inliers, score, any_row = np.zeros(len(cand), np.int64), np.zeros(len(cand)), False
+        for batch in batches:
+            x, y, z, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            any_row |= len(x) > 0
+            step = max(1, _CELLS // max(1, len(x)))
+            for k in range(0, len(cand), step):
+                a, b, c, d = (plane[k : k + step, j, None] for j in range(4))
+                dist = a * x
+                dist += b * y
+                dist += c * z
+                dist += d
+                np.abs(dist, out=dist)
+                inliers[k : k + step] += np.count_nonzero(dist <= threshold, axis=1)
+                if sigma:
+                    score[k : k + step] += np.exp(dist * dist / (-2.0 * sigma * sigma)) @ w
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(cand, pa.int32() if kind == "int" else pa.int64()), pa.array(inliers), pa.array(score)], names=["cand", "inliers", "score"])
+
+    own = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).dropna()
+    parts = own.mapInArrow(count, f"cand {'int' if kind == 'int' else 'long'}, inliers long, score double") if cand else points.sparkSession.createDataFrame([], f"cand {kind}, inliers long, score double")
+    return parts.groupBy("cand").agg(F.sum("inliers").alias("inliers"), *([F.sum("score").alias("score")] if sigma else []))
 
 
 def best_plane(points: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
